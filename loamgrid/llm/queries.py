@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loamgrid.llm import decontamination, jaccard_join, packing
-from loamgrid.llm.common import table
+from loamgrid.llm import decontamination, jaccard_join, langid, packing
+from loamgrid.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,12 +25,20 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "spans")
 
 
+def op9_cross_parsing_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(remainder(F.col("doc_id"), 3) != 1))
+    out = langid.predict(docs, model)
+    return out.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_cost_balanced_packing,
         op2_ngram_jaccard_join,
         op10_benchmark_decontamination,
+        op9_cross_parsing_language_id,
     )
 }
 #: A-Z only; DuckDB's lower() would also fold other letters.

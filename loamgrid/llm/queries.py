@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm import decontamination, jaccard_join, langid, packing
+from loamgrid.llm import decontamination, jaccard_join, langid, packing, toxicity
 from loamgrid.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,14 @@ def op9_cross_parsing_language_id(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op8_weighted_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = remainder(F.col("doc_id"), 4)
+    model = toxicity.fit(docs.where(fold != 2), labels.where(fold != 2))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "hits")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -39,6 +47,7 @@ QUERIES: dict[str, Query] = {
         op2_ngram_jaccard_join,
         op10_benchmark_decontamination,
         op9_cross_parsing_language_id,
+        op8_weighted_lexicon_toxicity,
     )
 }
 #: A-Z only; DuckDB's lower() would also fold other letters.

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,7 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once and held in the shared folder, with its lineage cut."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    _release(df.sparkSession)
+    return out
+
+
+def _release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner find shuffles that no plan needs any more, whose files it would keep until the driver's memory fills."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -36,10 +48,26 @@ def stored(df: DataFrame) -> DataFrame:
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    _release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once a session, for those that do not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        folder = tempfile.mkdtemp(prefix="loamgrid-")  # Spark serves the file from here to the end
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.addPyFile(shutil.make_archive(os.path.join(folder, "loamgrid"), "zip", root, "loamgrid"))
+        _SHIPPED.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgrid.llm import wordhash as wh
@@ -35,12 +35,14 @@ _U = np.uint64
 @dataclass(frozen=True)
 class Jaccard:
     """words: shingle length; percent: similarity threshold; table_bits: log2 of the count table's size;
-    picks: different random partners for each shingle in the first pass."""
+    picks: different random partners for each shingle in the first pass; sent_ids: up to so many doc_ids of pairs are
+    broadcast, so that only their texts leave the scan; beyond, ids and texts meet in a shuffle."""
 
     words: int = 5
     percent: int = 80
     table_bits: int = 20
     picks: int = 8
+    sent_ids: int = 2_000_000
 
 
 def _sets(part: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,9 +113,25 @@ def signatures(docs: DataFrame, how: Jaccard) -> DataFrame:
 
 
 def _bounds(percent: int) -> str:
-    """SQL: sides x and y (n, pos) may still reach the threshold, given one shared token at x.pos and y.pos."""
+    """SQL: sides x and y may still reach the threshold, given one shared token with ``before`` and ``after``
+    shingles around it that others have too, or may have."""
     need = f"ceil({percent} * (x.n + y.n) / {100 + percent}D - 1e-9)"
-    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND least(x.pos, y.pos) + 1 + least(x.n - x.pos - 1, y.n - y.pos - 1) >= {need}"
+    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND least(x.before, y.before) + 1 + least(x.after, y.after) >= {need}"
+
+
+def _shared(single: DataFrame, percent: int) -> DataFrame:
+    """(token, node, n, before, after): prefix shingles of ``single`` (node, n, tokens) that two nodes or more have.
+
+    Shingles that turned out to be a node's own count neither before nor after
+    a shared one, which makes the positional bound much tighter.
+    """
+    rows = single.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
+    common = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    both = rows.join(common, "token")
+    of = Window.partitionBy("node")
+    own = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1 - F.count(F.lit(1)).over(of)
+    both = both.select("token", "node", "n", (F.row_number().over(of.orderBy("pos")) - 1).alias("before"), own.alias("own"))
+    return both.select("token", "node", "n", "before", (F.col("n") - 1 - F.col("before") - F.col("own")).alias("after"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, how: Jaccard) -> DataFrame:
@@ -145,7 +163,9 @@ def verified(docs: DataFrame, pairs: DataFrame, how: Jaccard) -> DataFrame:
                 keep.append(int((y[at] == x).sum()) >= need)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    ids = checkpointed(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    if ids.count() <= how.sent_ids:
+        ids = F.broadcast(ids)
     sets = stored(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(load, "doc_id long, items binary").distinct())
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
@@ -175,11 +195,11 @@ def join(docs: DataFrame, how: Jaccard = Jaccard(), every_link: bool = False) ->
     members = sig.drop("tokens").join(nodes, ["h1", "h2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")).otherwise(F.col("doc_id")).alias("node"))
 
     single = named.join(nodes, ["h1", "h2"]).where("doc_id = node").select("node", "n", "tokens")
-    rows = single.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
-    pick = F.struct(F.xxhash64("node", F.pmod("token", F.lit(how.picks))).alias("by"), F.col("node"), F.col("n"), F.col("pos"))
-    shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min(pick).alias("best")).where("c > 1").select("token", "best.node", "best.n", "best.pos")
-    met = stored(rows.alias("x").join(shared.alias("y"), F.col("x.token") == F.col("y.token")).selectExpr("x.token AS token", "x.node AS node", "x.n AS n", "x.pos AS pos", "y.node AS best", f"x.node <> y.node AND {_bounds(how.percent)} AS near"))
-    tried = stored(met.where("near").select(F.least("node", "best").alias("a"), F.greatest("node", "best").alias("b")).distinct())
+    met = stored(_shared(single, how.percent))
+    pick = F.struct(F.xxhash64("node", F.pmod("token", F.lit(how.picks))).alias("by"), *(F.col(c) for c in ("node", "n", "before", "after")))
+    best = met.groupBy("token").agg(F.min(pick).alias("best")).select("token", "best.*")
+    near = met.alias("x").join(best.alias("y"), F.expr(f"x.token = y.token AND x.node <> y.node AND {_bounds(how.percent)}"))
+    tried = stored(near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
     links = checkpointed(verified(docs, tried, how))
 
     if every_link:
@@ -187,7 +207,7 @@ def join(docs: DataFrame, how: Jaccard = Jaccard(), every_link: bool = False) ->
     else:
         left = met.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
         open_tokens = left.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-        left = stored(left.join(open_tokens, "token", "left_semi").select("token", "node", "n", "pos", "component"))
+        left = stored(left.join(open_tokens, "token", "left_semi"))
     rest = left.alias("x").join(left.alias("y"), F.expr(f"x.token = y.token AND x.component < y.component AND {_bounds(how.percent)}"))
     rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = stored(rest)

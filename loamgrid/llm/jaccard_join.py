@@ -30,18 +30,22 @@ from loamgrid.llm.common import checkpointed, slices, stored
 from loamgrid.llm.graph import components
 
 _U = np.uint64
+#: For each of 256 cells of the hash space, whether a set has an odd number of shingles there.
+_PARITY = ("p0", "p1", "p2", "p3")
 
 
 @dataclass(frozen=True)
 class Jaccard:
     """words: shingle length; percent: similarity threshold; table_bits: log2 of the count table's size;
-    picks: different random partners for each shingle in the first pass; sent_ids: up to so many doc_ids of pairs are
+    picks: different random partners for each shingle in the first pass; rounds: further such passes at most,
+    among nodes still apart; sent_ids: up to so many doc_ids of pairs are
     broadcast, so that only their texts leave the scan; beyond, ids and texts meet in a shuffle."""
 
     words: int = 5
     percent: int = 80
     table_bits: int = 20
     picks: int = 8
+    rounds: int = 1
     sent_ids: int = 2_000_000
 
 
@@ -88,7 +92,7 @@ def shingle_counts(docs: DataFrame, how: Jaccard) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, how: Jaccard) -> DataFrame:
-    """(doc_id, n, h1, h2, tokens): set size, hash of the set, and the prefix, rarest first."""
+    """(doc_id, n, h1, h2, p0 to p3, tokens): set size, hash of the set, parities, and the prefix, rarest first."""
     counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, how))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,37 +105,55 @@ def signatures(docs: DataFrame, how: Jaccard) -> DataFrame:
                 h1, h2 = np.zeros(rows, _U), np.zeros(rows, _U)
                 np.add.at(h1, row, wh.mix(value))
                 np.add.at(h2, row, wh.mix(value ^ _U(0x5851F42D4C957F2D)))
+                parity = np.zeros((rows, 4), _U)
+                np.bitwise_xor.at(parity, (row, ((value >> _U(6)) & _U(3)).astype(np.int64)), _U(1) << (value & _U(63)))
                 order = np.lexsort((value, table[(value >> _U(64 - how.table_bits)).astype(np.int64)], row))
                 value = value[order]
                 take = np.where(n > 0, n - (how.percent * n + 99) // 100 + 1, 0)
                 begin = np.cumsum(n) - n
                 at = np.repeat(begin, take) + np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
                 tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(take))), pa.int32()), pa.array(value[at].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), tokens], names=["doc_id", "n", "h1", "h2", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *(pa.array(parity[:, i].copy().view(np.int64)) for i in range(4)), tokens], names=["doc_id", "n", "h1", "h2", *_PARITY, "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, h1 long, h2 long, tokens array<long>")
+    return docs.select("doc_id", "text").mapInArrow(sign, f"doc_id long, n long, h1 long, h2 long, {' long, '.join(_PARITY)} long, tokens array<long>")
 
 
 def _bounds(percent: int) -> str:
     """SQL: sides x and y may still reach the threshold, given one shared token with ``before`` and ``after``
-    shingles around it that others have too, or may have."""
+    shingles around it that others have too, or may have. Cells with different parity differ in a shingle at least."""
+    differ = " + ".join(f"bit_count(x.{p} ^ y.{p})" for p in _PARITY)
     need = f"ceil({percent} * (x.n + y.n) / {100 + percent}D - 1e-9)"
-    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND least(x.before, y.before) + 1 + least(x.after, y.after) >= {need}"
+    return f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) AND least(x.before, y.before) + 1 + least(x.after, y.after) >= {need} AND {differ} <= x.n + y.n - 2 * {need}"
 
 
-def _shared(single: DataFrame, percent: int) -> DataFrame:
-    """(token, node, n, before, after): prefix shingles of ``single`` (node, n, tokens) that two nodes or more have.
+def _first(percent: int) -> str:
+    """SQL, besides _bounds: the token is the first that x and y share, as far as ``earlier`` tells, so nothing before it counts."""
+    need = f"ceil({percent} * (x.n + y.n) / {100 + percent}D - 1e-9)"
+    return f"(greatest(x.before, y.before) > {_EARLIER} OR 1 + least(x.after, y.after) >= {need}) AND NOT arrays_overlap(x.earlier, y.earlier)"
+
+
+#: Tokens before a shared one that are compared, at most; a pair that meets beyond them may be emitted more than once.
+_EARLIER = 64
+
 
-    Shingles that turned out to be a node's own count neither before nor after
-    a shared one, which makes the positional bound much tighter.
+def _placed(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows`` (token, node, n, pos, ...) with the shingles ``before`` and ``after`` that could be shared.
+
+    Rows hold the prefix shingles by which a node can meet another. Its other
+    prefix shingles count neither before nor after, which makes the positional
+    bound much tighter.
     """
-    rows = single.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
-    common = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    both = rows.join(common, "token")
     of = Window.partitionBy("node")
-    own = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1 - F.count(F.lit(1)).over(of)
-    both = both.select("token", "node", "n", (F.row_number().over(of.orderBy("pos")) - 1).alias("before"), own.alias("own"))
-    return both.select("token", "node", "n", "before", (F.col("n") - 1 - F.col("before") - F.col("own")).alias("after"))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
+    out = rows.withColumn("before", F.row_number().over(of.orderBy("pos")) - 1).withColumn("own", prefix - F.count(F.lit(1)).over(of))
+    return out.withColumn("after", F.col("n") - 1 - F.col("before") - F.col("own")).drop("own")
+
+
+def _shared(single: DataFrame, percent: int) -> DataFrame:
+    """(token, node, n, pos, before, after): prefix shingles of ``single`` (node, n, tokens) that two nodes or more have."""
+    rows = single.select("node", "n", *_PARITY, F.posexplode("tokens").alias("pos", "token"))
+    common = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    return _placed(rows.join(common, "token"), percent)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, how: Jaccard) -> DataFrame:
@@ -171,6 +193,39 @@ def verified(docs: DataFrame, pairs: DataFrame, how: Jaccard) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
 
 
+def _apart(met: DataFrame, found: DataFrame | None, how: Jaccard) -> DataFrame:
+    """Rows of ``met`` whose shingle has nodes of several components, placed anew, with the component and ``earlier`` shingles.
+
+    Where all nodes of a shingle are in one component already, no pair across
+    components can meet or overlap. Without ``found`` each node is on its own.
+    """
+    left = met.select("token", "node", "n", "pos", *_PARITY)
+    if found is None:
+        left = left.withColumn("component", F.col("node"))
+    else:
+        left = left.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = left.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+        left = left.join(several, "token", "left_semi")
+    past = Window.partitionBy("node").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    return stored(_placed(left, how.percent).withColumn("earlier", F.slice(F.collect_list("token").over(past), 1, _EARLIER)))
+
+
+def _crowded(left: DataFrame) -> bool:
+    """Whether pairs across components would far outnumber the rows, so that merging components first pays."""
+    k = left.groupBy("token", "component").agg(F.count(F.lit(1)).cast("double").alias("k")).groupBy("token").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
+    r = k.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs"), F.sum("s").alias("rows")).first()
+    return bool(r["rows"]) and r["pairs"] > 4 * r["rows"]
+
+
+def _partners(left: DataFrame, how: Jaccard, again: int) -> DataFrame:
+    """Distinct pairs (a, b) of each row's node with a random node of another component, under the same shingle."""
+    pick = F.struct(F.xxhash64("node", F.pmod("token", F.lit(how.picks)), F.lit(again + 1)).alias("by"), *(F.col(c) for c in ("node", "n", "before", "after", *_PARITY)))
+    best = left.groupBy("token", "component").agg(F.min(pick).alias("best"))
+    two = best.withColumn("k", F.row_number().over(Window.partitionBy("token").orderBy("best.by", "component"))).where("k <= 2").select("token", "component", "best.*")
+    met = left.alias("x").join(two.alias("y"), F.expr(f"x.token = y.token AND x.component <> y.component AND {_bounds(how.percent)}"))
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 @dataclass(frozen=True)
 class Joined:
     """members: (doc_id, n, node), one row for each document; links: (a, b) between nodes."""
@@ -192,25 +247,31 @@ def join(docs: DataFrame, how: Jaccard = Jaccard(), every_link: bool = False) ->
     sig = stored(signatures(docs, how))
     named = sig.where("n > 0 AND doc_id IS NOT NULL")
     nodes = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
-    members = sig.drop("tokens").join(nodes, ["h1", "h2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")).otherwise(F.col("doc_id")).alias("node"))
+    members = sig.select("doc_id", "n", "h1", "h2").join(nodes, ["h1", "h2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")).otherwise(F.col("doc_id")).alias("node"))
 
-    single = named.join(nodes, ["h1", "h2"]).where("doc_id = node").select("node", "n", "tokens")
+    single = named.join(nodes, ["h1", "h2"]).where("doc_id = node").select("node", "n", *_PARITY, "tokens")
     met = stored(_shared(single, how.percent))
-    pick = F.struct(F.xxhash64("node", F.pmod("token", F.lit(how.picks))).alias("by"), *(F.col(c) for c in ("node", "n", "before", "after")))
+    pick = F.struct(F.xxhash64("node", F.pmod("token", F.lit(how.picks))).alias("by"), *(F.col(c) for c in ("node", "n", "before", "after", *_PARITY)))
     best = met.groupBy("token").agg(F.min(pick).alias("best")).select("token", "best.*")
     near = met.alias("x").join(best.alias("y"), F.expr(f"x.token = y.token AND x.node <> y.node AND {_bounds(how.percent)}"))
     tried = stored(near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
     links = checkpointed(verified(docs, tried, how))
 
-    if every_link:
-        left = met.withColumn("component", F.col("node"))
+    if not every_link:
+        for again in range(how.rounds):
+            left = _apart(met, components(links), how)
+            if not _crowded(left):
+                break
+            more = checkpointed(verified(docs, stored(_partners(left, how, again).join(tried, ["a", "b"], "left_anti")), how))
+            if more.isEmpty():
+                break
+            links = checkpointed(links.unionByName(more))
+        else:
+            left = _apart(met, components(links), how)
     else:
-        left = met.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        open_tokens = left.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-        left = stored(left.join(open_tokens, "token", "left_semi"))
-    rest = left.alias("x").join(left.alias("y"), F.expr(f"x.token = y.token AND x.component < y.component AND {_bounds(how.percent)}"))
-    rest = rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    rest = stored(rest)
+        left = _apart(met, None, how)
+    rest = left.alias("x").join(left.alias("y"), F.expr(f"x.token = y.token AND x.component < y.component AND {_bounds(how.percent)} AND {_first(how.percent)}"))
+    rest = stored(rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
     return Joined(members, links.unionByName(verified(docs, rest, how)))
 
 

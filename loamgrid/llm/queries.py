@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm import decontamination, jaccard_join, langid, packing, toxicity
+from loamgrid.llm import ann, decontamination, jaccard_join, langid, packing, toxicity
 from loamgrid.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,11 @@ def op8_weighted_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "hits")
 
 
+def op7_rotated_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -48,6 +53,7 @@ QUERIES: dict[str, Query] = {
         op10_benchmark_decontamination,
         op9_cross_parsing_language_id,
         op8_weighted_lexicon_toxicity,
+        op7_rotated_one_bit_search,
     )
 }
 #: A-Z only; DuckDB's lower() would also fold other letters.

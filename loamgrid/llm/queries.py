@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm import ann, decontamination, jaccard_join, langid, packing, toxicity
+from loamgrid.llm import ann, decontamination, jaccard_join, langid, packing, sharding, toxicity
 from loamgrid.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ def op7_rotated_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -54,6 +58,7 @@ QUERIES: dict[str, Query] = {
         op9_cross_parsing_language_id,
         op8_weighted_lexicon_toxicity,
         op7_rotated_one_bit_search,
+        op3_hilbert_sharding,
     )
 }
 #: A-Z only; DuckDB's lower() would also fold other letters.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm import ann, decontamination, jaccard_join, langid, packing, sharding, toxicity
+from loamgrid.llm import ann, decontamination, jaccard_join, langid, packing, secrets, sharding, toxicity
 from loamgrid.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +49,10 @@ def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op6_forest_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.Scanner(spark).findings(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -59,6 +63,7 @@ QUERIES: dict[str, Query] = {
         op8_weighted_lexicon_toxicity,
         op7_rotated_one_bit_search,
         op3_hilbert_sharding,
+        op6_forest_secret_scan,
     )
 }
 #: A-Z only; DuckDB's lower() would also fold other letters.

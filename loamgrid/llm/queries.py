@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm import ann, decontamination, jaccard_join, langid, packing, secrets, sharding, toxicity
+from loamgrid.llm import ann, decontamination, jaccard_join, langid, packing, secrets, sharding, surrogates, toxicity
 from loamgrid.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,11 @@ def op6_forest_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.Scanner(spark).findings(table(spark, sf_dir, "documents"))
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace(docs, surrogates.Surrogates(key="corpus-round"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -64,6 +69,7 @@ QUERIES: dict[str, Query] = {
         op7_rotated_one_bit_search,
         op3_hilbert_sharding,
         op6_forest_secret_scan,
+        op5_pii_surrogates,
     )
 }
 #: A-Z only; DuckDB's lower() would also fold other letters.

@@ -136,24 +136,26 @@ def _first(percent: int) -> str:
 _EARLIER = 64
 
 
-def _placed(rows: DataFrame, percent: int) -> DataFrame:
-    """``rows`` (token, node, n, pos, ...) with the shingles ``before`` and ``after`` that could be shared.
+def _placed(rows: DataFrame) -> DataFrame:
+    """``rows`` (token, node, n, pos, ...) with the numbers of shingles ``before`` and ``after`` that could be shared.
 
-    Rows hold the prefix shingles by which a node can meet another. Its other
-    prefix shingles count neither before nor after, which makes the positional
-    bound much tighter.
+    Rows hold the prefix shingles by which a node can meet another. A shingle
+    that both sides of a pair have, and that comes before one that they share in
+    their prefixes, is in both prefixes itself; so of those before only rows
+    count. Those after may be beyond the other side's prefix and count all.
     """
-    of = Window.partitionBy("node")
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
-    out = rows.withColumn("before", F.row_number().over(of.orderBy("pos")) - 1).withColumn("own", prefix - F.count(F.lit(1)).over(of))
-    return out.withColumn("after", F.col("n") - 1 - F.col("before") - F.col("own")).drop("own")
+    out = rows.withColumn("before", F.row_number().over(Window.partitionBy("node").orderBy("pos")) - 1)
+    return out.withColumn("after", F.col("n") - 1 - F.col("pos"))
 
 
-def _shared(single: DataFrame, percent: int) -> DataFrame:
-    """(token, node, n, pos, before, after): prefix shingles of ``single`` (node, n, tokens) that two nodes or more have."""
-    rows = single.select("node", "n", *_PARITY, F.posexplode("tokens").alias("pos", "token"))
+def _shared(single: DataFrame) -> DataFrame:
+    """(token, node, n, pos, p0 to p3, before, after): prefix shingles of ``single`` that two nodes or more have.
+
+    Only place and node travel with each shingle; what else a node has joins those that are left.
+    """
+    rows = single.select("node", F.posexplode("tokens").alias("pos", "token"))
     common = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    return _placed(rows.join(common, "token"), percent)
+    return _placed(rows.join(common, "token").join(single.drop("tokens"), "node"))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, how: Jaccard) -> DataFrame:
@@ -207,7 +209,7 @@ def _apart(met: DataFrame, found: DataFrame | None, how: Jaccard) -> DataFrame:
         several = left.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
         left = left.join(several, "token", "left_semi")
     past = Window.partitionBy("node").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return stored(_placed(left, how.percent).withColumn("earlier", F.slice(F.collect_list("token").over(past), 1, _EARLIER)))
+    return stored(_placed(left).withColumn("earlier", F.slice(F.collect_list("token").over(past), 1, _EARLIER)))
 
 
 def _crowded(left: DataFrame) -> bool:
@@ -250,7 +252,7 @@ def join(docs: DataFrame, how: Jaccard = Jaccard(), every_link: bool = False) ->
     members = sig.select("doc_id", "n", "h1", "h2").join(nodes, ["h1", "h2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")).otherwise(F.col("doc_id")).alias("node"))
 
     single = named.join(nodes, ["h1", "h2"]).where("doc_id = node").select("node", "n", *_PARITY, "tokens")
-    met = stored(_shared(single, how.percent))
+    met = stored(_shared(single))
     pick = F.struct(F.xxhash64("node", F.pmod("token", F.lit(how.picks))).alias("by"), *(F.col(c) for c in ("node", "n", "before", "after", *_PARITY)))
     best = met.groupBy("token").agg(F.min(pick).alias("best")).select("token", "best.*")
     near = met.alias("x").join(best.alias("y"), F.expr(f"x.token = y.token AND x.node <> y.node AND {_bounds(how.percent)}"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm import ann, decontamination, jaccard_join, langid, packing, secrets, sharding, surrogates, toxicity
+from loamgrid.llm import ann, decontamination, jaccard_join, langid, maxent_lm, packing, secrets, sharding, surrogates, toxicity
 from loamgrid.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,13 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace(docs, surrogates.Surrogates(key="corpus-round"))
 
 
+def op4_hashed_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = remainder(F.col("doc_id"), 10)
+    out = maxent_lm.fit_and_score(docs, docs.where(fold != 0))
+    return out.select("doc_id", (fold == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -70,6 +77,7 @@ QUERIES: dict[str, Query] = {
         op3_hilbert_sharding,
         op6_forest_secret_scan,
         op5_pii_surrogates,
+        op4_hashed_maxent_lm,
     )
 }
 #: A-Z only; DuckDB's lower() would also fold other letters.

@@ -71,6 +71,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """``df``, a narrow stored table, marked for broadcast if it has ``rows`` rows at most; beyond, joins with it shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def remainder(doc_id, by: int):
     """crc32 of doc_id as text, modulo ``by``: the fixed split into training and held-out rows."""
     return F.crc32(doc_id.cast("string")) % F.lit(by)

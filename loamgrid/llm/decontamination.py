@@ -218,7 +218,7 @@ def _pass(docs: DataFrame, index: _Index, how: Windows) -> DataFrame:
     return docs.mapInArrow(scan, docs.schema)
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, how: Windows = Windows(), keep_text: bool = False) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, how: Windows = Windows()) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans) for each row of ``docs`` (doc_id, text).
 
     ``spans`` holds the hit runs as word numbers: from, to, from, to, ... Null
@@ -228,10 +228,25 @@ def hits(docs: DataFrame, benchmark: DataFrame, how: Windows = Windows(), keep_t
     size, one pass over the documents each; without items nothing is hit.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = _scanned(docs, benchmark, how)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "spans")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, how: Windows = Windows()) -> DataFrame:
+    """The rows of ``docs`` (text, ...), all columns kept, that hold no window of any item; see hits() for nulls and repeats."""
+    names = [f"__{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index("text")]
+    renamed = docs.toDF(*names).withColumnRenamed(text, "text")  # no clash with the columns that scanning adds
+    kept = _scanned(renamed, benchmark, how).where("n_hit = 0")
+    return kept.select(*["text" if n == text else n for n in names]).toDF(*docs.columns)
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, how: Windows) -> DataFrame:
+    """``docs`` (text, ...) with n_words, items, spans and n_hit."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // how.block_bytes))
-    out = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("array<long>").alias("spans"))
+    out = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("array<long>").alias("spans"))
     for b in range(blocks):
         held = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toPandas()
         index = _index(held["item_id"].tolist(), held["text"].tolist(), how)
@@ -244,7 +259,4 @@ def hits(docs: DataFrame, benchmark: DataFrame, how: Windows = Windows(), keep_t
         out = _pass(out, index, how)
     pair = F.sequence(F.lit(0), F.floor(F.size("spans") / 2).cast("int") - 1)
     n_hit = F.when(F.size("spans") > 0, F.aggregate(pair, F.lit(0).cast("long"), lambda n, i: n + F.element_at("spans", 2 * i + 2) - F.element_at("spans", 2 * i + 1))).otherwise(F.lit(0).cast("long"))
-    out = out.withColumn("n_hit", n_hit)
-    return out.select("doc_id", *(["text"] if keep_text else []), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items", "spans")
-
-
+    return out.withColumn("n_hit", n_hit)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgrid.llm import wordhash as wh
-from loamgrid.llm.common import checkpointed, slices, stored
+from loamgrid.llm.common import checkpointed, slices, small, stored
 from loamgrid.llm.graph import components
 
 _U = np.uint64
@@ -188,9 +188,7 @@ def verified(docs: DataFrame, pairs: DataFrame, how: Jaccard) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ids = checkpointed(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    if ids.count() <= how.sent_ids:
-        ids = F.broadcast(ids)
-    sets = stored(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(load, "doc_id long, items binary").distinct())
+    sets = stored(docs.select("doc_id", "text").join(small(ids, how.sent_ids), "doc_id", "left_semi").mapInArrow(load, "doc_id long, items binary").distinct())
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
 

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loamgrid.llm.common import slices
 
@@ -143,6 +144,44 @@ def phrases(model: Model, codes: np.ndarray, starts: np.ndarray, ends: np.ndarra
     return count + 1
 
 
+def annotate(docs: DataFrame, model: Model, how: Samples = Samples()) -> DataFrame:
+    """``docs`` (text, ...), all columns kept, with ``lang_pred`` and ``score`` added, or replaced where they exist; see predict()."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("lang_pred", "score")
+
+    def judge(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        model = sent.value
+        texts = [letters(t) for t in texts]
+        n = np.array([len(t) for t in texts], np.int64)
+        langs, scores = ["und"] * len(texts), np.zeros(len(texts))
+        if n.sum() and model.languages:
+            codes = model.alphabet[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)].astype(np.int64)
+            pieces = -(-n // how.piece)
+            row = np.repeat(np.arange(len(n)), pieces)
+            begin = np.repeat(np.cumsum(n) - n, pieces)
+            starts = begin + how.piece * (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+            ends = np.minimum(starts + how.piece, begin + n[row])
+            order = np.argsort(starts - ends, kind="stable")
+            got = phrases(model, codes, starts[order], ends[order])
+            total = np.stack([np.bincount(row[order], weights=g, minlength=len(n)) for g in got])
+            best = total.argmin(axis=0)
+            least = total.min(axis=0)
+            others = (total.sum(axis=0) - least) / max(1, len(model.languages) - 1)
+            for i in np.flatnonzero(n):
+                langs[i] = model.languages[best[i]]
+                scores[i] = 1.0 if len(model.languages) == 1 else 1 - least[i] / others[i]
+        return langs, scores
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 2 << 20):
+                langs, scores = judge(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs), pa.array(scores)], names=[*part.schema.names, "lang_pred", "score"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.mapInArrow(run, schema)
+
+
 def predict(docs: DataFrame, model: Model, how: Samples = Samples()) -> DataFrame:
     """(doc_id, lang_pred, score) for each row of ``docs`` (doc_id, text).
 
@@ -152,31 +191,5 @@ def predict(docs: DataFrame, model: Model, how: Samples = Samples()) -> DataFram
     texts are read, of any length; repeated rows are judged alike and other
     columns are left aside.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
-                texts = [letters(t) for t in part.column("text").to_pylist()]
-                n = np.array([len(t) for t in texts], np.int64)
-                langs, scores = ["und"] * len(texts), np.zeros(len(texts))
-                if n.sum() and model.languages:
-                    codes = model.alphabet[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)].astype(np.int64)
-                    pieces = -(-n // how.piece)
-                    row = np.repeat(np.arange(len(n)), pieces)
-                    begin = np.repeat(np.cumsum(n) - n, pieces)
-                    starts = begin + how.piece * (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-                    ends = np.minimum(starts + how.piece, begin + n[row])
-                    order = np.argsort(starts - ends, kind="stable")
-                    got = phrases(model, codes, starts[order], ends[order])
-                    total = np.stack([np.bincount(row[order], weights=g, minlength=len(n)) for g in got])
-                    best = total.argmin(axis=0)
-                    least = total.min(axis=0)
-                    others = (total.sum(axis=0) - least) / max(1, len(model.languages) - 1)
-                    for i in np.flatnonzero(n):
-                        langs[i] = model.languages[best[i]]
-                        scores[i] = 1.0 if len(model.languages) == 1 else 1 - least[i] / others[i]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(langs), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return annotate(docs, model, how).drop("text")

@@ -31,10 +31,14 @@ def collapse_ws(c: Column) -> Column:
     return trim_ws(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
-def nfc(s: pd.Series) -> pd.Series:
-    """Canonical composition; Spark has no built-in for it."""
-    return s.str.normalize("NFC")
+def nfc(c: Column) -> Column:
+    """Canonical composition; Spark has no built-in for it. Made on call: workers import this module without a session."""
+
+    @F.pandas_udf("string")
+    def compose(s: pd.Series) -> pd.Series:
+        return s.str.normalize("NFC")
+
+    return compose(c)
 
 
 def normalize(c: Column) -> Column:

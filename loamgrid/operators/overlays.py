@@ -69,12 +69,16 @@ def label_of(region: Column, label: Column, default: str) -> Column:
     return F.when(got == "", F.lit(default)).otherwise(got)
 
 
+def _absent_from(known: Column):
+    return lambda k, _: ~F.map_contains_key(known, k)
+
+
 def settings(default: Column, *layers: Column) -> Column:
     """Maps laid over ``default``, later ones first; keys that the default does not have are dropped."""
     out = default
     for layer in layers:
         known = F.map_filter(F.coalesce(layer, F.create_map().cast("map<string,string>")), lambda k, _: F.map_contains_key(default, k))
-        out = F.map_concat(F.map_filter(out, lambda k, _, m=known: ~F.map_contains_key(m, k)), known)
+        out = F.map_concat(F.map_filter(out, _absent_from(known)), known)
     return out
 
 

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from loamgrid.plans import expression_queries, review_queries, run_queries, source_queries, table_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "cell_quality"
+_ALL = (table_queries, expression_queries, run_queries, review_queries, source_queries)
+QUERIES = {k: v for m in _ALL for k, v in m.here.queries.items()}
+ORACLES = {k: v for m in _ALL for k, v in m.here.oracles.items()}
+FLAGSHIP = "dq_flags"

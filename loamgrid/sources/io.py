@@ -54,12 +54,12 @@ def coco_boxes(df: DataFrame) -> DataFrame:
     return out.select("file_name", "width", "height", F.get(name, 0)["name"].alias("label"), F.col("a.bbox").alias("bbox"))
 
 
-def yolo_boxes(lines: DataFrame, value: str, width: float, height: float) -> DataFrame:
-    """(class, x0, y0, x1, y1) in pixels of ``class cx cy w h`` lines; shorter lines are skipped."""
+def yolo_boxes(lines: DataFrame, value: str, width: float, height: float, keep: Sequence[str] = ()) -> DataFrame:
+    """(keep..., class, x0, y0, x1, y1) in pixels of ``class cx cy w h`` lines; shorter lines are skipped."""
     p = F.split(F.trim(value), r"\s+")
     d = lines.withColumn("__p", p).where(F.size("__p") >= 5)
-    at = lambda i: F.col("__p")[i].cast("double")
-    return d.select(F.col("__p")[0].cast("int").alias("class"), ((at(1) - at(3) / 2) * width).alias("x0"), ((at(2) - at(4) / 2) * height).alias("y0"), ((at(1) + at(3) / 2) * width).alias("x1"), ((at(2) + at(4) / 2) * height).alias("y1"))
+    at = lambda i: F.get("__p", i).cast("double")
+    return d.select(*keep, F.col("__p")[0].cast("int").alias("class"), ((at(1) - at(3) / 2) * width).alias("x0"), ((at(2) - at(4) / 2) * height).alias("y0"), ((at(1) + at(3) / 2) * width).alias("x1"), ((at(2) + at(4) / 2) * height).alias("y1"))
 
 
 def route_by_suffix(name: Column) -> Column:

@@ -82,10 +82,10 @@ def total_mismatch(cells: DataFrame, by: Keys, is_total: Column, value: Column,
 
     Percentages do not count. A value that is no number makes its stretch undecidable.
     """
-    c = cells.select(*by, "row_id", "col_id", is_total.alias("t"), value.alias("v"), is_percent.alias("p")).where(~F.coalesce("p", F.lit(False)))
+    c = cells.select(*by, "row_id", "col_id", is_total.alias("__t"), value.alias("__v"), is_percent.alias("__p")).where(~F.coalesce("__p", F.lit(False)))
     before = Window.partitionBy(*by, "col_id").orderBy("row_id").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.withColumn("part", F.coalesce(F.sum(F.col("t").cast("int")).over(before), F.lit(0)))
-    part = c.groupBy(*by, "col_id", "part").agg(F.sum(F.when(~F.col("t"), F.col("v"))).alias("expected"), F.bool_and(F.col("v").isNotNull()).alias("sound"), F.max(F.when(F.col("t"), F.col("v"))).alias("total"), F.max(F.when(F.col("t"), F.col("row_id"))).alias("row_id"))
+    c = c.withColumn("__part", F.coalesce(F.sum(F.col("__t").cast("int")).over(before), F.lit(0)))
+    part = c.groupBy(*by, "col_id", "__part").agg(F.sum(F.when(~F.col("__t"), F.col("__v"))).alias("expected"), F.bool_and(F.col("__v").isNotNull()).alias("sound"), F.max(F.when(F.col("__t"), F.col("__v"))).alias("total"), F.max(F.when(F.col("__t"), F.col("row_id"))).alias("row_id"))
     return part.where(F.col("sound") & F.col("total").isNotNull() & F.col("expected").isNotNull() & (F.abs(F.col("total") - F.col("expected")) > tolerance)).select(*by, "row_id", "col_id", "total", "expected")
 
 

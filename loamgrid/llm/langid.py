@@ -81,8 +81,12 @@ def automaton(codes: np.ndarray, symbols: int) -> np.ndarray:
 class Model:
     languages: list[str]
     alphabet: np.ndarray  # code point -> symbol; symbol 0 occurs in no sample
-    moves: np.ndarray  # all automata, one below the other
-    base: np.ndarray  # each language's start state
+    automata: list[np.ndarray]  # dense transitions of each language, in the smallest type that holds them
+
+    def stacked(self) -> tuple[np.ndarray, np.ndarray]:
+        """All automata one below the other, and each language's start state."""
+        base = np.cumsum([0, *(len(a) for a in self.automata[:-1])])
+        return np.concatenate([np.where(a > 0, a.astype(np.int32) + np.int32(b), 0) for a, b in zip(self.automata, base, strict=True)]).astype(np.int32), base
 
 
 def fit(labelled: DataFrame, how: Samples = Samples()) -> Model:
@@ -111,23 +115,20 @@ def fit(labelled: DataFrame, how: Samples = Samples()) -> Model:
     alphabet = np.zeros(0x110000, np.uint8)
     alphabet[chosen] = np.arange(1, len(chosen) + 1)
     width = len(chosen) + 1
-    moves, base, at = [], [], 0
-    for text in samples.values():
+    automata = []
+    for _, text in sorted(samples.items()):
         own = automaton(alphabet[np.frombuffer(text.encode("utf-32-le"), np.uint32)].astype(np.int64), width)
         own[:, 0] = 0  # letters outside the alphabet match nothing
-        base.append(at)
-        moves.append(np.where(own > 0, own + at, 0))
-        at += len(own)
-    order = np.argsort(list(samples)) if samples else []
-    return Model([list(samples)[i] for i in order], alphabet, np.concatenate(moves).astype(np.int32) if moves else np.zeros((1, 1), np.int32), np.array(base, np.int64)[order] if samples else np.zeros(0, np.int64))
+        automata.append(own.astype(np.uint16 if len(own) < 1 << 16 else np.int32))
+    return Model(sorted(samples), alphabet, automata)
 
 
-def phrases(model: Model, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def phrases(moves: np.ndarray, base: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Phrases that each piece codes[start:end] needs, for each language: (language, piece). Pieces come longest first."""
     size = ends - starts
-    base = model.base[:, None]
-    width = model.moves.shape[1]
-    flat = model.moves.ravel()
+    base = base[:, None]
+    width = moves.shape[1]
+    flat = moves.ravel()
     state = np.repeat(base, len(starts), axis=1)
     count = np.zeros(state.shape, np.int64)
     alive = len(starts)
@@ -149,8 +150,7 @@ def annotate(docs: DataFrame, model: Model, how: Samples = Samples()) -> DataFra
     sent = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("lang_pred", "score")
 
-    def judge(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        model = sent.value
+    def judge(model: Model, stacked: tuple | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         texts = [letters(t) for t in texts]
         n = np.array([len(t) for t in texts], np.int64)
         langs, scores = ["und"] * len(texts), np.zeros(len(texts))
@@ -162,7 +162,7 @@ def annotate(docs: DataFrame, model: Model, how: Samples = Samples()) -> DataFra
             starts = begin + how.piece * (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
             ends = np.minimum(starts + how.piece, begin + n[row])
             order = np.argsort(starts - ends, kind="stable")
-            got = phrases(model, codes, starts[order], ends[order])
+            got = phrases(*stacked, codes, starts[order], ends[order])
             total = np.stack([np.bincount(row[order], weights=g, minlength=len(n)) for g in got])
             best = total.argmin(axis=0)
             least = total.min(axis=0)
@@ -173,9 +173,11 @@ def annotate(docs: DataFrame, model: Model, how: Samples = Samples()) -> DataFra
         return langs, scores
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        stacked = model.stacked() if model.languages else None
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                langs, scores = judge(part.column("text").to_pylist())
+                langs, scores = judge(model, stacked, part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs), pa.array(scores)], names=[*part.schema.names, "lang_pred", "score"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: A private-key block, or 16 and more token characters with a letter and a digit among them.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{1,16384}+-----END [A-Z ]{0,40}PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9_+/=.~-])(?=[A-Za-z_+/=.~-]*+[0-9])(?=[0-9_+/=.~-]*+[A-Za-z])[A-Za-z0-9_+/=.~-]{16,}+"
+    r"|(?<![A-Za-z0-9_+/.~-])(?=[A-Za-z_+/.~-]*+[0-9])(?=[0-9_+/.~-]*+[A-Za-z])[A-Za-z0-9_+/.~-]{16,}+={0,2}"
 )
 #: Words whose presence beside a candidate speaks for or against a secret.
 _FOR = "key|token|secret|passw|pwd|auth|bearer|credential|api|private|session"
@@ -100,29 +100,72 @@ def labelled_examples(spark: SparkSession, how: Forest = Forest()) -> DataFrame:
     return spark.range(0, how.examples, 1, 4).select(F.transform(F.array("id"), make)[0].alias("row")).select("row.*")
 
 
-def _compiled(node, values: Column) -> Column:
-    """A fitted tree as nested conditions over the struct of features."""
-    if node.numDescendants() == 0:
-        return F.lit(float(node.prediction()))
-    split = node.split()
-    name = FEATURES[split.featureIndex()]
-    return F.when(values[name] <= float(split.threshold()), _compiled(node.leftChild(), values)).otherwise(_compiled(node.rightChild(), values))
+class _Trees:
+    """Fitted trees as flat lists, and their verdict as an expression that walks them.
+
+    The lists travel as short texts that the optimizer turns into constants, so
+    the plan stays small whatever the size of the forest.
+    """
+
+    def __init__(self, roots: list, depth: int):
+        self.feature: list[int] = []
+        self.bound: list[float] = []
+        self.left: list[int] = []
+        self.right: list[int] = []
+        self.verdict: list[float] = []
+        self.depth = depth
+        self.roots = [self._add(r) for r in roots]
+
+    def _add(self, node) -> int:
+        """Takes a node and those below it; a leaf points at itself."""
+        at = len(self.feature)
+        leaf = node.numDescendants() == 0
+        self.feature.append(0 if leaf else node.split().featureIndex())
+        self.bound.append(0.0 if leaf else node.split().threshold())
+        self.verdict.append(node.prediction() if leaf else 0.0)
+        self.left.append(at)
+        self.right.append(at)
+        if not leaf:
+            self.left[at], self.right[at] = self._add(node.leftChild()), self._add(node.rightChild())
+        return at
+
+    def share(self, values: Column) -> Column:
+        """Share of trees that end in 1, for an array of feature values."""
+        const = lambda xs, kind: F.split(F.lit(",".join(map(repr, xs))), ",").cast(f"array<{kind}>")
+        feature, bound = const(self.feature, "int"), const(self.bound, "double")
+        left, right = const(self.left, "int"), const(self.right, "int")
+        step = lambda at, _: F.when(F.get(values, F.get(feature, at)) <= F.get(bound, at), F.get(left, at)).otherwise(F.get(right, at))
+        levels = F.sequence(F.lit(1), F.lit(self.depth))
+        ends = F.transform(const(self.roots, "int"), lambda root: F.get(const(self.verdict, "double"), F.aggregate(levels, root, step)))
+        return F.aggregate(ends, F.lit(0.0), lambda n, x: n + x) / len(self.roots)
+
+
+_FITTED: dict[Forest, _Trees] = {}
 
 
 class Scanner:
     """A fitted forest that scans texts; ``labelled`` (before, token, after, label) takes the place of the generated findings."""
 
     def __init__(self, spark: SparkSession, labelled: DataFrame | None = None, how: Forest = Forest()):
-        rows = labelled_examples(spark, how) if labelled is None else labelled
+        self.how = how
+        if labelled is not None:
+            self._trees = self._fit(labelled, how)
+            return
+        # The generated findings depend on the settings alone, so a session fits them once.
+        if how not in _FITTED:
+            _FITTED[how] = self._fit(labelled_examples(spark, how), how)
+        self._trees = _FITTED[how]
+
+    @staticmethod
+    def _fit(rows: DataFrame, how: Forest) -> _Trees:
         described = rows.select(F.transform(F.array(F.struct("before", "token", "after")), lambda x: features(x["before"], x["token"], x["after"]))[0].alias("f"), F.col("label").cast("double").alias("label")).select("f.*", "label").na.drop()
         frame = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(described)
         fitted = RandomForestClassifier(numTrees=how.trees, maxDepth=how.depth, seed=how.seed, featureSubsetStrategy="sqrt").fit(frame)
-        self.how = how
-        self._roots = [t._call_java("rootNode") for t in fitted.trees]
+        return _Trees([t._call_java("rootNode") for t in fitted.trees], how.depth)
 
     def score(self, values: Column) -> Column:
         """Share of trees that take a candidate for a secret."""
-        return sum((_compiled(r, values) for r in self._roots), F.lit(0.0)) / len(self._roots)
+        return self._trees.share(F.array(*[values[f] for f in FEATURES]))
 
     def _judged(self, docs: DataFrame) -> DataFrame:
         """``docs`` with arrays of the text between candidates, of the candidates, and of their scores."""

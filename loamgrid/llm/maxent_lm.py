@@ -36,7 +36,7 @@ _BEFORE = 0
 @dataclass(frozen=True)
 class MaxEnt:
     """own: frequent words with a class to themselves; endings: classes by a word's last two bytes; context: numbers that a
-    context word can have, the first half for frequent words; pairs: hashed pairs of words; table: frequent words whose
+    context word can have, the first half for frequent words; pairs: hashed pairs of words; table: frequent words, at most, whose
     counts are sent along; rounds: of training, each over its own part of the documents; rate: of AdaGrad; batch: tokens."""
 
     own: int = 12
@@ -71,7 +71,7 @@ class Counts:
 
     @property
     def unknown(self) -> float:
-        return (self.once + 0.1) / (self.total + self.once + 0.1)
+        return (self.once + 0.1) / (self.total + self.once + 0.2)
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,7 +119,7 @@ def count(docs: DataFrame, how: MaxEnt) -> tuple[DataFrame, Counts]:
 
     vocabulary = stored(docs.select("text").mapInArrow(tally, "h long, n long, ending long").groupBy("h").agg(F.sum("n").alias("n"), F.min("ending").alias("ending")))
     sums = vocabulary.groupBy((F.col("ending") % how.endings).alias("class")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"), F.sum((F.col("n") == 1).cast("long")).alias("once")).collect()
-    top = vocabulary.orderBy(F.desc("n"), "h").limit(how.table).toPandas()
+    top = _frequent(vocabulary, how).sort_values(["n", "h"], ascending=[False, True], ignore_index=True)
     mass = np.zeros(how.classes)
     for r in sums:
         mass[how.own + r["class"]] = r["n"] + 0.1 * r["words"]
@@ -132,6 +132,19 @@ def count(docs: DataFrame, how: MaxEnt) -> tuple[DataFrame, Counts]:
     return vocabulary, known
 
 
+def _frequent(vocabulary: DataFrame, how: MaxEnt):
+    """The most frequent words, as many whole steps of frequency as the table holds: no more than that reaches the driver."""
+    step = F.floor(F.log(F.col("n").cast("double")) * 64)
+    sizes = vocabulary.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect()
+    held, least = 0, None
+    for r in sizes:
+        held += r["words"]
+        if held > how.table:
+            break
+        least = r["step"]
+    return vocabulary.where(F.lit(least is not None) & (step >= F.lit(least or 0))).toPandas()
+
+
 class Features:
     """Turns tokens into feature rows and classes."""
 

@@ -26,14 +26,6 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and held in the shared folder, with its lineage cut."""
-    shared_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    _release(df.sparkSession)
-    return out
-
-
 def _release(spark: SparkSession) -> None:
     """Lets Spark's cleaner find shuffles that no plan needs any more, whose files it would keep until the driver's memory fills."""
     gc.collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.llm.common import checkpointed
+from loamgrid.llm.common import stored
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,19 +20,23 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
+def _print(edges: DataFrame) -> tuple:
+    """Number and combined hashes of distinct edges: equal for equal sets, whatever their order."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first())
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for each node of ``links`` (a, b); the component is its smallest node.
 
     Nulls and self-links are left aside; an empty table gives an empty one. Each
-    round is checkpointed in the shared folder, so a lost executor costs that round.
+    round is written to the shared folder, so a lost executor costs that round.
     """
-    edges = checkpointed(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
-    nodes = edges
+    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
+    before = _print(edges)
     while True:
-        after = checkpointed(_stars(_stars(edges, True), False))
-        moved = after.exceptAll(edges).limit(1).count() or edges.exceptAll(after).limit(1).count()
-        edges = after
-        if not moved:
+        edges = stored(_stars(_stars(edges, True), False))
+        after = _print(edges)
+        if after == before:
             break
-    del nodes
+        before = after
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgrid.llm import wordhash as wh
-from loamgrid.llm.common import checkpointed, slices, small, stored
+from loamgrid.llm.common import slices, small, stored
 from loamgrid.llm.graph import components
 
 _U = np.uint64
@@ -187,7 +187,7 @@ def verified(docs: DataFrame, pairs: DataFrame, how: Jaccard) -> DataFrame:
                 keep.append(int((y[at] == x).sum()) >= need)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = checkpointed(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
     sets = stored(docs.select("doc_id", "text").join(small(ids, how.sent_ids), "doc_id", "left_semi").mapInArrow(load, "doc_id long, items binary").distinct())
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
@@ -255,17 +255,17 @@ def join(docs: DataFrame, how: Jaccard = Jaccard(), every_link: bool = False) ->
     best = met.groupBy("token").agg(F.min(pick).alias("best")).select("token", "best.*")
     near = met.alias("x").join(best.alias("y"), F.expr(f"x.token = y.token AND x.node <> y.node AND {_bounds(how.percent)}"))
     tried = stored(near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
-    links = checkpointed(verified(docs, tried, how))
+    links = stored(verified(docs, tried, how))
 
     if not every_link:
         for again in range(how.rounds):
             left = _apart(met, components(links), how)
             if not _crowded(left):
                 break
-            more = checkpointed(verified(docs, stored(_partners(left, how, again).join(tried, ["a", "b"], "left_anti")), how))
+            more = stored(verified(docs, stored(_partners(left, how, again).join(tried, ["a", "b"], "left_anti")), how))
             if more.isEmpty():
                 break
-            links = checkpointed(links.unionByName(more))
+            links = stored(links.unionByName(more))
         else:
             left = _apart(met, components(links), how)
     else:

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamgrid.llm.common import checkpointed
+from loamgrid.llm.common import stored
 
 
 @dataclass(frozen=True)
@@ -96,7 +96,7 @@ def shard(docs: DataFrame, shards: int = 24, dimensions: Sequence[Dimension] = D
     rows = rows.select("doc_id", "size", "text_crc32", curve_index(cells, bits).alias("curve"))
     order = ["curve", "text_crc32", "doc_id"]
     # Ranges are cut by the whole key, so one crowded cell or one much copied text still spreads over tasks.
-    placed = checkpointed(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
+    placed = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()))
     part = F.shiftright("at", 33)
     sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.llm.common import checkpointed
+from loamgrid.llm.common import stored
 
 #: Forms of address by gender, in the order of the name lists below.
 _TITLES = {"m": "Mr|Herr|Monsieur|Señor|Sir|Г-н", "f": "Mrs|Ms|Miss|Frau|Madame|Señora|Lady|Г-жа", "n": "Dr|Prof|Mx"}
@@ -156,7 +156,7 @@ def _redrawn(docs: DataFrame, how: Surrogates) -> DataFrame:
     """(canon, attempt) of the names and addresses whose first draw clashes, over the whole table."""
     found = docs.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?:{PATTERNS['email']})|(?:{PATTERNS['name']})"), F.lit(0))).alias("entity"))
     each = found.select(kind(F.col("entity")).alias("kind"), canonical(F.col("entity")).alias("canon"), "entity").groupBy("kind", "canon").agg(F.min("entity").alias("entity"))
-    each = checkpointed(each)
+    each = stored(each)
     settled, again = None, each
     out = None
     for attempt in range(how.redraws + 1):
@@ -166,8 +166,8 @@ def _redrawn(docs: DataFrame, how: Surrogates) -> DataFrame:
             first = first.join(settled, "value", "left_anti")
         # A value that is somebody's own is no surrogate.
         first = first.join(each.select(F.lower("entity").alias("value")), "value", "left_anti")
-        kept = checkpointed(now.join(first, "value").where("canon = holder").select("value", "canon"))
-        again = checkpointed(again.join(kept.select("canon"), "canon", "left_anti"))
+        kept = stored(now.join(first, "value").where("canon = holder").select("value", "canon"))
+        again = stored(again.join(kept.select("canon"), "canon", "left_anti"))
         if attempt:
             new = kept.select("canon", F.lit(attempt).alias("attempt"))
             out = new if out is None else out.unionByName(new)

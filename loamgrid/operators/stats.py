@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamgrid.staging import stored
+
 Keys = Sequence[str]
 
 
@@ -119,9 +121,10 @@ def bounded_empties(rows: DataFrame, by: Keys, empty: Column, share: float, orde
 
 def running_ids(rows: DataFrame, order: Keys, name: str = "id") -> DataFrame:
     """A gapless id in the given total order: ranges are sorted apart, then offset by the sizes of those before."""
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    own = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    placed = placed.withColumn("__own", own)
+    at = F.monotonically_increasing_id()
+    # Written once: ranges cut anew for the second use could differ.
+    placed = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", at))
+    placed = placed.withColumn("__part", F.shiftright("__at", 33)).withColumn("__own", F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at")
     sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.withColumn("__skip", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    return placed.join(F.broadcast(before), "__part").withColumn(name, F.col("__own") + F.col("__skip") - 1).drop("__part", "__own", "__skip")
+    return placed.join(F.broadcast(before), "__part").withColumn(name, F.col("__own") + F.col("__skip")).drop("__part", "__own", "__skip")

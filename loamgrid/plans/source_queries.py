@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +11,7 @@ from loamgrid.operators import joins, overlays
 from loamgrid.plans.registry import Registry
 from loamgrid.plans.views import view
 from loamgrid.sources import io
+from loamgrid.staging import shared_dir
 
 here = Registry()
 C = F.col
@@ -20,8 +19,7 @@ C = F.col
 
 def _folder(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "loamgrid-io")
-    return f"{base.rstrip('/')}/io-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/io-{uuid.uuid4().hex}"
 
 
 @here("SELECT o_orderkey AS id, 'set' || (o_orderkey % 3) AS name FROM orders")

@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loamgrid.staging import ship
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 _LINES = """SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) - 1 AS INT) AS line FROM lineitem"""
 
@@ -58,6 +60,7 @@ def _used(sql: str) -> list[str]:
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """A view by name, a driver table by name, or any SQL text over both."""
+    ship(spark)
     if sql in TABLES:
         return spark.read.parquet(f"{sf_dir}/{sql}.parquet")
     text = VIEWS.get(sql, sql)

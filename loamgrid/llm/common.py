@@ -2,12 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import gc
-import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,47 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamgrid.staging import shared_dir, ship, stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="loamgrid-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def _release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner find shuffles that no plan needs any more, whose files it would keep until the driver's memory fills."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back; the files go when the session ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/loamgrid-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    _release(spark)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once a session, for those that do not have it installed."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _SHIPPED:
-        root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-        folder = tempfile.mkdtemp(prefix="loamgrid-")  # Spark serves the file from here to the end
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        sc.addPyFile(shutil.make_archive(os.path.join(folder, "loamgrid"), "zip", root, "loamgrid"))
-        _SHIPPED.add(sc.applicationId)
+__all__ = ["remainder", "shared_dir", "ship", "slices", "small", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -43,8 +43,13 @@ def stored(df: DataFrame) -> DataFrame:
 _SHIPPED: set[str] = set()
 
 
+#: Bytes of rows that Spark hands to a Python worker at once; its default of 64 MB is held several times over in each.
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once a session, for those that do not have it installed."""
+    """Sends this package to the executors once a session, for those that do not have it installed, and bounds Python's batches."""
+    spark.conf.set(_BATCH[0], str(_BATCH[1]))
     sc = spark.sparkContext
     if sc.applicationId not in _SHIPPED:
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -246,7 +246,8 @@ def join(docs: DataFrame, how: Jaccard = Jaccard(), every_link: bool = False) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = stored(signatures(docs, how))
     named = sig.where("n > 0 AND doc_id IS NOT NULL")
-    nodes = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
+    # Stored, so that joins with it have shuffles of their own on both sides, which Spark can split where copies crowd.
+    nodes = stored(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")))
     members = sig.select("doc_id", "n", "h1", "h2").join(nodes, ["h1", "h2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")).otherwise(F.col("doc_id")).alias("node"))
 
     single = named.join(nodes, ["h1", "h2"]).where("doc_id = node").select("node", "n", *_PARITY, "tokens")

@@ -29,7 +29,7 @@ def remainder(doc_id, by: int):
     return F.crc32(doc_id.cast("string")) % F.lit(by)
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose ``column`` texts hold about ``most_bytes``; a longer text stands alone."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     at, held = 0, 0

@@ -142,7 +142,7 @@ def _frequent(vocabulary: DataFrame, how: MaxEnt):
         if held > how.table:
             break
         least = r["step"]
-    return vocabulary.where(F.lit(least is not None) & (step >= F.lit(least or 0))).toPandas()
+    return vocabulary.where(F.lit(least is not None) & (step >= F.lit(least or 0))).toArrow().to_pandas()
 
 
 class Features:

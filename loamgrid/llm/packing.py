@@ -30,6 +30,7 @@ def byte_bpe(path: str | None = None) -> Callable[[list[str]], list[list[int]]]:
     faster library that yields the same ids; tests hold the two against each other.
     """
     import base64
+    import functools
     import os
 
     import public_tokenizers
@@ -37,17 +38,22 @@ def byte_bpe(path: str | None = None) -> Callable[[list[str]], list[list[int]]]:
     from tokenizers import Tokenizer
 
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
+
+    @functools.cache
+    def plain() -> Tokenizer:
+        out = Tokenizer.from_file(path)
+        out.encode_special_tokens = True
+        return out
+
     ranks = path.removesuffix(".json") + ".tiktoken"
     if not os.path.exists(ranks):
-        return lambda texts: [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+        return lambda texts: [e.ids for e in plain().encode_batch(texts, add_special_tokens=False)]
     with open(ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def encode(texts: list[str]) -> list[list[int]]:
-        return [plain.encode(t, add_special_tokens=False).ids if _SPECIAL in t else fast.encode_ordinary(t) for t in texts]
+        return [plain().encode(t, add_special_tokens=False).ids if _SPECIAL in t else fast.encode_ordinary(t) for t in texts]
 
     return encode
 

@@ -186,3 +186,42 @@ def sheet_numbers(sheets: DataFrame, by: Keys, order: str, name: str) -> DataFra
     k = F.row_number().over(Window.partitionBy(*by, F.lower(name)).orderBy(order))
     mark = F.concat(F.lit("_"), k.cast("string"))
     return sheets.withColumn("sheet", F.when(k == 1, F.col(name)).otherwise(F.concat(F.substring(F.col(name), F.lit(1), 31 - F.length(mark)), mark)))
+
+
+def flag_rows(flags: DataFrame, by: Keys, page: str) -> DataFrame:
+    """(by..., page, row, col, flag): findings counted from 1 for people; the page of a stitched table is blank."""
+    return flags.select(*by, F.coalesce((F.col(page) + 1).cast("string"), F.lit("")).alias("page"), (F.col("row_id") + 1).alias("row"), (F.col("col_id") + 1).alias("col"), "flag")
+
+
+def page_banner(blocks: DataFrame, tables: DataFrame, by: Keys, confidence: str) -> DataFrame:
+    """(by..., low, tables, hint): blocks under 0.5, missing ones included, tables, and whether they look like pieces of one."""
+    low = blocks.groupBy(*by).agg(F.count_if(F.coalesce(F.col(confidence), F.lit(0.0)) < 0.5).alias("low"))
+    n = tables.groupBy(*by).agg(F.count(F.lit(1)).alias("tables"))
+    out = low.join(n, list(by), "left").withColumn("tables", F.coalesce("tables", F.lit(0)))
+    return out.withColumn("hint", F.col("tables") > 1)
+
+
+def crops_checked(crops: DataFrame, box: str, width: str, height: str) -> DataFrame:
+    """``sound``: the crop is as large as its box."""
+    b = F.col(box)
+    return crops.withColumn("sound", (b[2] - b[0] == F.col(width)) & (b[3] - b[1] == F.col(height)))
+
+
+def text_report(pages: DataFrame, document: str, page: str, text: str, title: str = "Page") -> DataFrame:
+    """(document, report): pages in order, each under its heading."""
+    part = F.concat(F.lit(f"--- {title} "), (F.col(page) + 1).cast("string"), F.lit(" ---\n"), F.coalesce(F.col(text), F.lit("")))
+    return pages.groupBy(document).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), part.alias("t")))), lambda x: x["t"]), "\n\n").alias("report"))
+
+
+def paragraph_kind(text: Column) -> Column:
+    """``section`` if it carries a unit mark, ``row`` if it begins with a row number, else ``note``."""
+    return F.when(F.contains(text, F.lit("/-")), "section").when(split_row_number(text)["number"].isNotNull(), "row").otherwise("note")
+
+
+def placed(texts: DataFrame, places: DataFrame, by: Keys, order: str, column: str) -> DataFrame:
+    """(by..., column, text): texts of a row in its cells by their own places where the counts agree, else by rank, clamped to the last."""
+    own = Window.partitionBy(*by).orderBy(order)
+    t = texts.withColumn("__k", F.row_number().over(own) - 1)
+    p = places.groupBy(*by).agg(F.array_sort(F.collect_list(column)).alias("__at"))
+    met = t.join(p, list(by))
+    return met.select(*by, F.get("__at", F.least(F.col("__k"), F.size("__at") - 1)).alias(column), "text")

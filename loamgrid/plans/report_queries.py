@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loamgrid.functions import geometry as geo
+from loamgrid.functions import markup
 from loamgrid.functions import text as tx
 from loamgrid.operators import joins, overlays, reports, stats
 from loamgrid.operators import tables as tb
@@ -181,3 +182,42 @@ def stitch_sanity(spark, sf):
     t = tb.row_lengths(view(spark, sf, "v_cells"), ["table_id"]).groupBy("table_id").agg(F.count(F.lit(1)).alias("rows"), F.max("length").alias("cols"))
     doc = view(spark, sf, "SELECT o_custkey AS doc, o_orderkey AS table_id FROM orders")
     return t.join(doc, "table_id").groupBy("doc").agg(F.count(F.lit(1)).alias("tables"), F.sum("rows").alias("rows"), F.max("cols").cast("int").alias("cols"))
+
+
+@here("SELECT table_id, CASE WHEN table_id % 5 = 0 THEN '' ELSE (table_id % 5)::VARCHAR END AS page, row_id + 1 AS \"row\", col_id + 1 AS col, 'low_conf' AS flag FROM v_cells WHERE confidence < 0.8 AND trim(text) <> ''")
+def flags_export(spark, sf):
+    own = tb.quality_flags(view(spark, sf, "v_cells"), ["table_id"]).where("flag = 'low_conf'")
+    page = F.when(C("table_id") % 5 != 0, C("table_id") % 5 - 1)
+    return reports.flag_rows(own.withColumn("page_index", page), ["table_id"], "page_index")
+
+
+@here("WITH b AS (SELECT o_custkey AS page, count(*) FILTER (WHERE o_orderkey % 10 < 5) AS low FROM orders GROUP BY 1), t AS (SELECT o_custkey AS page, count(*) AS n FROM orders JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON l_orderkey = o_orderkey GROUP BY 1) SELECT page, low, coalesce(n, 0) AS tables, coalesce(n, 0) > 1 AS hint FROM b LEFT JOIN t USING (page)")
+def page_banner(spark, sf):
+    blocks = view(spark, sf, "orders").select(C("o_custkey").alias("page"), (C("o_orderkey") % 10 / 10).alias("confidence"))
+    tables = view(spark, sf, "SELECT o_custkey AS page FROM orders JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON l_orderkey = o_orderkey")
+    return reports.page_banner(blocks, tables, ["page"], "confidence")
+
+
+@here("SELECT page, box_id, y1 - y0 = 60 AND x1 - x0 = 60 AS sound FROM v_boxes")
+def crop_geometry(spark, sf):
+    b = view(spark, sf, "v_boxes").withColumn("box", geo.box(*(C(c) for c in ("x0", "y0", "x1", "y1")))).withColumn("side", F.lit(60.0))
+    return reports.crops_checked(b, "box", "side", "side").select("page", "box_id", "sound")
+
+
+@here("SELECT conv_id, md5(string_agg('--- Page ' || (turn + 1) || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY turn)) AS report FROM conversations GROUP BY 1")
+def text_report(spark, sf):
+    return reports.text_report(view(spark, sf, "SELECT conv_id, turn, text FROM conversations"), "conv_id", "turn", "text").withColumn("report", F.md5("report"))
+
+
+@here("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'section' WHEN 1 THEN 'row' ELSE 'note' END AS kind, 'Text,Table' AS labels FROM part")
+def paragraph_kinds(spark, sf):
+    p = view(spark, sf, "part")
+    text = F.when(C("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" /- kg"))).when(C("p_partkey") % 3 == 1, F.concat(F.lit("១២ "), "p_name")).otherwise(C("p_name"))
+    raw = F.concat(F.lit("Here:\n```json\n"), F.lit('[{"label":"Text"},{"label":"Table"}]'), F.lit("\n``` done "), C("p_name"))
+    return p.select("p_partkey", reports.paragraph_kind(text).alias("kind"), F.array_join(F.transform(markup.parse_regions(markup.unfenced(raw)), lambda r: r["label"]), ",").alias("labels"))
+
+
+@here("WITH t AS (SELECT table_id, row_id, text, row_number() OVER (PARTITION BY table_id, row_id ORDER BY col_id) - 1 AS k FROM v_pred), p AS (SELECT table_id, row_id, list(col_id ORDER BY col_id) AS spots FROM v_grid4 WHERE col_id < 3 GROUP BY 1, 2) SELECT table_id, row_id, spots[least(k + 1, len(spots))] AS col_id, text FROM t JOIN p USING (table_id, row_id)")
+def place_row(spark, sf):
+    places = view(spark, sf, "SELECT table_id, row_id, col_id FROM v_grid4 WHERE col_id < 3")
+    return reports.placed(view(spark, sf, "v_pred"), places, ["table_id", "row_id"], "col_id", "col_id")

@@ -27,7 +27,7 @@ def signature(*parts: Column) -> Column:
 
 
 def effective_choice(warning: Column) -> Column:
-    """What an automatic choice came to, from its warning; null if it does not say."""
+    """What an automatic choice came to, from its warning (fixed value: its form); null if it does not say."""
     got = F.regexp_extract(warning, r"^\[AutoRouter\] (?:re-)?routed to (\w+)", 1)
     return F.when(got != "", got)
 

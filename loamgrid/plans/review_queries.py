@@ -64,9 +64,9 @@ def block_labels(spark, sf):
     return view(spark, sf, "part").select("p_partkey", overlays.label_of(region, C("p_type"), "default").alias("label"))
 
 
-@here("SELECT o_orderkey, 'surya' AS engine, CASE WHEN o_orderstatus = 'F' THEN '300' ELSE 'auto' END AS dpi, (o_orderstatus = 'F')::INT AS changed FROM orders")
+@here("SELECT o_orderkey, 'plain' AS engine, CASE WHEN o_orderstatus = 'F' THEN '300' ELSE 'auto' END AS dpi, (o_orderstatus = 'F')::INT AS changed FROM orders")
 def settings_overlay(spark, sf):
-    default = F.create_map(F.lit("engine"), F.lit("surya"), F.lit("dpi"), F.lit("auto"))
+    default = F.create_map(F.lit("engine"), F.lit("plain"), F.lit("dpi"), F.lit("auto"))
     draft = F.when(C("o_orderstatus") == "F", F.create_map(F.lit("dpi"), F.lit("300"), F.lit("gone"), F.lit("x")))
     used = overlays.settings(default, draft)
     return view(spark, sf, "orders").select("o_orderkey", used["engine"].alias("engine"), used["dpi"].alias("dpi"), overlays.overrides(default, used).alias("changed"))

@@ -11,9 +11,9 @@ from loamgrid.sources import io
 
 def test_results_skip_missing_paths(spark, tmp_path):
     names = [c.split()[0] for c in io.RESULTS.split(", ")]
-    (tmp_path / "a.csv").write_text(",".join(names) + "\n" + ",".join(["surya", "True", "d", "i.png"] + ["" for _ in names[4:]]) + "\n")
+    (tmp_path / "a.csv").write_text(",".join(names) + "\n" + ",".join(["plain", "True", "d", "i.png"] + ["" for _ in names[4:]]) + "\n")
     got = io.results(spark, str(tmp_path / "a.csv"), str(tmp_path / "none.csv")).collect()
-    assert [(r["Engine"], r["Cell_Accuracy"]) for r in got] == [("surya", None)]
+    assert [(r["Engine"], r["Cell_Accuracy"]) for r in got] == [("plain", None)]
     assert io.results(spark, str(tmp_path / "none.csv")).count() == 0
 
 

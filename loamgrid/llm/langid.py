@@ -96,9 +96,10 @@ def fit(labelled: DataFrame, how: Samples = Samples()) -> Model:
     by the text itself, so the model does not depend on the order of rows.
     """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.xxhash64("text").alias("by"), F.substring("text", 1, how.part).alias("text"))
-    some = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("by").alias("lo")).orderBy(F.desc("n"), "lang").limit(how.languages)
-    keep = {r["lang"]: r["n"] for r in some.toLocalIterator()}
-    # A text's hash is even over all texts, so this share holds a few times the texts that are wanted.
+    rows = rows.where(F.col("text").rlike(r"\p{L}"))
+    some = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("by").alias("texts")).orderBy(F.desc("n"), "lang").limit(how.languages)
+    keep = {r["lang"]: r["texts"] for r in some.toLocalIterator()}
+    # A text's hash is even over all different texts, so this share of those holds a few times the texts that are wanted.
     share = F.create_map(*[F.lit(v) for k, n in keep.items() for v in (k, min(1.0, 4 * how.texts / n))]) if keep else None
     picked: dict[str, list[tuple[int, str]]] = {k: [] for k in keep}
     if keep:

@@ -398,6 +398,12 @@ def test_language(spark, awkward, nothing):
     assert langid.predict(nothing, model).count() == 0 and langid.annotate(awkward, model).count() == awkward.count()
 
 
+def test_language_of_copies_is_learned(spark):
+    copies = spark.range(200_000).select(F.lit("the same notice in every copy").alias("text"), F.lit("en").alias("lang"))
+    others = spark.createDataFrame([("ein ganz anderer Satz steht hier", "de"), ("noch ein Satz", "de")], "text string, lang string")
+    assert langid.fit(copies.unionByName(others)).languages == ["de", "en"]
+
+
 # op10
 
 

@@ -18,20 +18,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loamgrid.llm.common import slices
+from loamgrid.llm.common import slices, small, stored
 
 
 @dataclass(frozen=True)
 class Samples:
     """The bounded sample that is fitted: up to ``texts`` labelled texts of each language (those first by a hash of
-    the text), up to ``part`` characters of each, ``letters`` characters in all, ``languages`` languages (the most
-    frequent), and ``symbols`` different letters. Prediction reads whole texts in pieces of ``piece`` letters."""
+    the text), up to ``part`` characters of each, and ``letters`` characters of a language in all. Every labelled
+    language and every letter of a sample is kept. Prediction reads whole texts in pieces of ``piece`` letters."""
 
     texts: int = 200
     part: int = 400
     letters: int = 24_000
-    languages: int = 64
-    symbols: int = 96
     piece: int = 512
 
 
@@ -43,8 +41,13 @@ def letters(text: str | None) -> str:
     return _GAP.sub(" ", (text or "").lower()).strip()
 
 
-def automaton(codes: np.ndarray, symbols: int) -> np.ndarray:
-    """Dense transitions (state, symbol) -> state of the suffix automaton of ``codes``; 0 is the start and also 'none'."""
+def automaton(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Suffix automaton of ``codes`` (all above 0) as overlaid rows: (owner, next, start).
+
+    A state is the place in the table where its row begins. Its move by symbol c
+    is ``next[state + c]`` if ``owner[state + c]`` is the state, and none otherwise.
+    So a state takes as many places as it has moves, whatever the alphabet.
+    """
     step, link, length = [{}], [-1], [0]
     last = 0
     for c in codes.tolist():
@@ -70,23 +73,48 @@ def automaton(codes: np.ndarray, symbols: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    out = np.zeros((len(step), symbols), np.int32)
-    for s, moves in enumerate(step):
+    # The widest rows are placed first, each at the first of random places where it meets no other.
+    width = int(codes.max(initial=0)) + 1
+    room = 2 * sum(map(len, step)) + len(step) + 64
+    rng = np.random.Generator(np.random.PCG64(1))
+    tries = iter(())
+    owner, to = [-1] * (room + width), [0] * (room + width)
+    place = [0] * len(step)
+    taken: set[int] = set()
+    for s in sorted(range(len(step)), key=lambda s: (-len(step[s]), s)):
+        while True:
+            at = next(tries, None)
+            if at is None:
+                tries = iter(rng.integers(0, room, 1 << 16).tolist())
+            elif at not in taken and all(owner[at + c] < 0 for c in step[s]):
+                break
+        taken.add(at)
+        place[s] = at
+        for c in step[s]:
+            owner[at + c] = at
+    for moves, at in zip(step, place, strict=True):
         for c, t in moves.items():
-            out[s, c] = t
-    return out
+            to[at + c] = place[t]
+    return np.array(owner, np.int32), np.array(to, np.int32), place[0]
 
 
 @dataclass
 class Model:
     languages: list[str]
     alphabet: np.ndarray  # code point -> symbol; symbol 0 occurs in no sample
-    automata: list[np.ndarray]  # dense transitions of each language, in the smallest type that holds them
+    automata: list[tuple[np.ndarray, np.ndarray, int]]  # of each language, see automaton()
 
-    def stacked(self) -> tuple[np.ndarray, np.ndarray]:
-        """All automata one below the other, and each language's start state."""
-        base = np.cumsum([0, *(len(a) for a in self.automata[:-1])])
-        return np.concatenate([np.where(a > 0, a.astype(np.int32) + np.int32(b), 0) for a, b in zip(self.automata, base, strict=True)]).astype(np.int32), base
+    def stacked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All automata one behind the other, (owner, next), and each language's start state."""
+        width = int(self.alphabet.max()) + 1
+        owners, nexts, starts, base = [], [], [], 0
+        for owner, to, start in self.automata:
+            # Each is padded, so that any symbol of the common alphabet falls inside.
+            owners += [np.where(owner < 0, -1, owner + np.int32(base)).astype(np.int32), np.full(width, -1, np.int32)]
+            nexts += [to + np.int32(base), np.zeros(width, np.int32)]
+            starts.append(base + start)
+            base += len(owner) + width
+        return np.concatenate(owners), np.concatenate(nexts), np.array(starts, np.int64)
 
 
 def fit(labelled: DataFrame, how: Samples = Samples()) -> Model:
@@ -97,53 +125,50 @@ def fit(labelled: DataFrame, how: Samples = Samples()) -> Model:
     """
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", F.xxhash64("text").alias("by"), F.substring("text", 1, how.part).alias("text"))
     rows = rows.where(F.col("text").rlike(r"\p{L}"))
-    some = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("by").alias("texts")).orderBy(F.desc("n"), "lang").limit(how.languages)
-    keep = {r["lang"]: r["texts"] for r in some.toLocalIterator()}
+    known = stored(rows.groupBy("lang").agg(F.approx_count_distinct("by").alias("texts")))
     # A text's hash is even over all different texts, so this share of those holds a few times the texts that are wanted.
-    share = F.create_map(*[F.lit(v) for k, n in keep.items() for v in (k, min(1.0, 4 * how.texts / n))]) if keep else None
-    picked: dict[str, list[tuple[int, str]]] = {k: [] for k in keep}
-    if keep:
-        near = rows.where(F.col("lang").isin(list(keep)) & ((F.col("by") / 2.0**64 + 0.5) <= F.element_at(share, F.col("lang")))).distinct()
-        for r in near.toLocalIterator():
-            picked[r["lang"]].append((r["by"], r["text"]))
+    share = known.select("lang", F.least(F.lit(1.0), 4.0 * how.texts / F.col("texts")).alias("share"))
+    near = rows.join(small(share), "lang").where(F.col("by") / 2.0**64 + 0.5 <= F.col("share")).select("lang", "by", "text").distinct()
+    picked: dict[str, list[tuple[int, str]]] = {}
+    for r in near.toLocalIterator():
+        found = picked.setdefault(r["lang"], [])
+        found.append((r["by"], r["text"]))
+        if len(found) > 2 * how.texts:
+            found.sort()
+            del found[how.texts :]
     samples = {}
     for lang, found in picked.items():
         text = " ".join(filter(None, (letters(t) for _, t in sorted(found)[: how.texts])))[: how.letters]
         if text:
             samples[lang] = f" {text} "
-    chars, counts = np.unique(np.array([ord(c) for t in samples.values() for c in t], np.int64), return_counts=True)
-    chosen = np.sort(chars[np.lexsort((chars, -counts))][: how.symbols - 1])
-    alphabet = np.zeros(0x110000, np.uint8)
+    chosen = np.unique(np.array([ord(c) for c in set().union(*samples.values())], np.int64))
+    alphabet = np.zeros(0x110000, np.min_scalar_type(len(chosen)))
     alphabet[chosen] = np.arange(1, len(chosen) + 1)
-    width = len(chosen) + 1
-    automata = []
-    for _, text in sorted(samples.items()):
-        own = automaton(alphabet[np.frombuffer(text.encode("utf-32-le"), np.uint32)].astype(np.int64), width)
-        own[:, 0] = 0  # letters outside the alphabet match nothing
-        automata.append(own.astype(np.uint16 if len(own) < 1 << 16 else np.int32))
+    automata = [automaton(alphabet[np.frombuffer(text.encode("utf-32-le"), np.uint32)].astype(np.int64)) for _, text in sorted(samples.items())]
     return Model(sorted(samples), alphabet, automata)
 
 
-def phrases(moves: np.ndarray, base: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def phrases(owner: np.ndarray, to: np.ndarray, base: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Phrases that each piece codes[start:end] needs, for each language: (language, piece). Pieces come longest first."""
     size = ends - starts
-    base = base[:, None]
-    width = moves.shape[1]
-    flat = moves.ravel()
+    base = base.astype(np.int32)[:, None]
+    codes = codes.astype(np.int32)
+    # Where each symbol leads from the start; the start itself where there is no such move.
+    every = base + np.arange(int(codes.max(initial=0)) + 1, dtype=np.int32)[None, :]
+    first = np.where(owner.take(every) == base, to.take(every), base)
     state = np.repeat(base, len(starts), axis=1)
-    count = np.zeros(state.shape, np.int64)
+    count = np.zeros(state.shape, np.int32)
     alive = len(starts)
     for t in range(int(size[0]) if len(size) else 0):
         while alive and size[alive - 1] <= t:
             alive -= 1
-        c = codes[starts[:alive] + t][None, :]
+        c = codes[starts[:alive] + t]
         now = state[:, :alive]
-        to = flat.take(now * width + c)
-        broken = to == 0
+        at = now + c[None, :]
+        broken = owner.take(at) != now
         count[:, :alive] += broken
-        again = flat.take(base * width + c)
-        state[:, :alive] = np.where(broken, np.where(again == 0, base, again), to)
-    return count + 1
+        state[:, :alive] = np.where(broken, first.take(c, axis=1), to.take(at))
+    return count.astype(np.int64) + 1
 
 
 def annotate(docs: DataFrame, model: Model, how: Samples = Samples()) -> DataFrame:

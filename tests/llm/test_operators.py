@@ -404,6 +404,19 @@ def test_language_of_copies_is_learned(spark):
     assert langid.fit(copies.unionByName(others)).languages == ["de", "en"]
 
 
+def test_many_letters_and_languages(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(70):
+        # Each language has its own 40 ideographs; as the last by name, its words decide and not a tie.
+        signs = [chr(0x4E00 + 40 * k + i) for i in range(40)]
+        rows += [("".join(rng.choices(signs, k=60)), f"l{k:02}") for _ in range(3 + (k < 64))]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.languages) == 70 and (model.alphabet > 0).sum() == len(set().union(*(t for t, _ in rows))) + 1
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    assert langid.annotate(docs, model).where("lang <> lang_pred").count() == 0
+
+
 # op10
 
 

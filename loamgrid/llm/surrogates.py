@@ -106,19 +106,25 @@ def _laid_out(entity: Column, digits: Column, skip: int = 0) -> Column:
     return F.aggregate(F.split(entity, ""), start, put)["text"]
 
 
+def gender(entity: Column) -> Column:
+    """The gender that a name's title tells: m, f or n."""
+    out = F.lit("n")
+    for g in ("m", "f"):
+        out = F.when(entity.rlike(rf"^(?:{_TITLES[g]})\.? "), F.lit(g)).otherwise(out)
+    return out
+
+
 def drawn(k: Column, canon: Column, entity: Column, attempt: Column, how: Surrogates) -> Column:
     """Surrogate of an address or a name at a given draw; from the fourth draw on a keyed suffix makes it certain."""
     h = _hex(how, k, canon, attempt.cast("string"))
     settled = attempt > how.redraws
     email = F.concat(F.lit("user."), F.substring(h, 1, 16), F.when(settled, F.substring(h, 17, 32)).otherwise(F.lit("")), F.lit("@example.org"))
-    gender = F.lit("n")
-    for g in ("m", "f"):
-        gender = F.when(entity.rlike(rf"^(?:{_TITLES[g]})\.? "), F.lit(g)).otherwise(gender)
+    told = gender(entity)
     words = F.size(F.split(canon, " "))
     title = F.regexp_extract(entity, rf"^((?:{'|'.join(_TITLES.values())})\.? )", 1)
     name = F.lit(None).cast("string")
     for (script, g), given in _GIVEN.items():
-        fits = (gender == g) & (canon.rlike(r"\p{IsCyrillic}") == F.lit(script == "cyrillic"))
+        fits = (told == g) & (canon.rlike(r"\p{IsCyrillic}") == F.lit(script == "cyrillic"))
         family = F.concat(_pick(_FAMILY[script], h, 8), F.lit("-"), _pick(_FAMILY[script], h, 15))
         full = F.when(words > 1, F.concat(_pick(given, h, 1), F.lit(" "), family)).otherwise(family)
         name = F.when(fits, full).otherwise(name)
@@ -153,28 +159,34 @@ def _address(entity: Column, how: Surrogates) -> Column:
 
 
 def _redrawn(docs: DataFrame, how: Surrogates) -> DataFrame:
-    """(canon, attempt) of the names and addresses whose first draw clashes, over the whole table."""
+    """(canon, attempt) of the names and addresses whose first draw clashes, over the whole table.
+
+    A name is drawn for each gender that its titles tell. All its surrogates are
+    compared in canonical form, so without title, with those of all others; if
+    one clashes, the name is drawn again for all its genders.
+    """
     found = docs.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?:{PATTERNS['email']})|(?:{PATTERNS['name']})"), F.lit(0))).alias("entity"))
-    each = found.select(kind(F.col("entity")).alias("kind"), canonical(F.col("entity")).alias("canon"), "entity").groupBy("kind", "canon").agg(F.min("entity").alias("entity"))
+    each = found.select(kind(F.col("entity")).alias("kind"), canonical(F.col("entity")).alias("canon"), gender(F.col("entity")).alias("gender"), "entity").groupBy("kind", "canon", "gender").agg(F.min("entity").alias("entity"))
     each = stored(each)
     settled, again = None, each
     out = None
     for attempt in range(how.redraws + 1):
-        now = again.withColumn("value", F.lower(drawn(F.col("kind"), F.col("canon"), F.col("entity"), F.lit(attempt), how)))
-        first = now.groupBy("value").agg(F.min("canon").alias("holder"))
+        now = stored(again.withColumn("value", canonical(drawn(F.col("kind"), F.col("canon"), F.col("entity"), F.lit(attempt), how))))
+        first = now.groupBy("value").agg(F.min("canon").alias("canon"))
         if settled is not None:
             first = first.join(settled, "value", "left_anti")
         # A value that is somebody's own is no surrogate.
-        first = first.join(each.select(F.lower("entity").alias("value")), "value", "left_anti")
-        kept = stored(now.join(first, "value").where("canon = holder").select("value", "canon"))
-        again = stored(again.join(kept.select("canon"), "canon", "left_anti"))
+        first = first.join(each.select(F.col("canon").alias("value")), "value", "left_anti")
+        lost = stored(now.join(first, ["value", "canon"], "left_anti").select("canon").distinct())
+        kept = stored(now.join(lost, "canon", "left_anti").select("value", "canon"))
         if attempt:
-            new = kept.select("canon", F.lit(attempt).alias("attempt"))
+            new = kept.select("canon", F.lit(attempt).alias("attempt")).distinct()
             out = new if out is None else out.unionByName(new)
         settled = kept.select("value") if settled is None else settled.unionByName(kept.select("value"))
-        if again.isEmpty():
+        if lost.isEmpty():
             return out
-    last = again.select("canon", F.lit(how.redraws + 1).alias("attempt"))
+        again = each.join(lost, "canon", "left_semi")
+    last = lost.select("canon", F.lit(how.redraws + 1).alias("attempt"))
     return last if out is None else out.unionByName(last)
 
 

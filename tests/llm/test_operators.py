@@ -289,6 +289,18 @@ def test_surrogates_stay_distinct(spark):
     assert digits.select(surrogates._permuted(F.col("d"), surrogates.Surrogates(), "x").alias("d")).distinct().count() == 1000
 
 
+def test_surrogates_stay_distinct_under_all_titles(spark):
+    letters = lambda c, to: F.translate((c + 1000).cast("string"), "0123456789", to)
+    people = spark.range(600).select("id", F.concat(F.lit("Aa"), letters(F.col("id"), "abcdefghij"), F.lit(" Bb"), letters(F.col("id"), "klmnopqrst")).alias("name"))
+    titles = F.element_at(F.array(*[F.array(*map(F.lit, t)) for t in (("Mr",), ("Sir",), ("Mr", "Mrs"), ("Mrs",))]), (F.col("id") % 4 + 1).cast("int"))
+    said = people.select(F.col("id").alias("doc_id"), F.explode(titles).alias("title"), "name")
+    got = surrogates.replace(said.select("doc_id", F.concat_ws(" ", "title", "name").alias("text"))).collect()
+    holders = defaultdict(set)
+    for r in got:
+        holders[r["text"].split(" ", 1)[1].lower()].add(r["doc_id"])
+    assert len(got) == 750 and all(len(ids) == 1 for ids in holders.values())
+
+
 # op6
 
 

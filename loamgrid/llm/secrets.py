@@ -1,7 +1,8 @@
 """Secret scanning with a random forest that removes false findings; built-in functions only.
 
-A pattern finds candidates: key blocks, and runs of token characters that mix
-letters and digits. Each candidate is described by its length, the changes
+A pattern finds candidates: key blocks, whatever is assigned to a secret word or
+quoted without a space (6 characters and more), and runs of 16 and more token
+characters that mix letters and digits. Each candidate is described by its length, the changes
 between kinds of characters, the part of it that dictionary words cover, its
 path-like marks and the words beside it. A forest fitted on labelled findings
 decides; its trees are compiled into one column expression, so scanning and
@@ -17,10 +18,17 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A private-key block, or 16 and more token characters with a letter and a digit among them.
+#: A private-key block, with header lines or without.
+_BLOCK = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----[^-]++(?:-{1,4}+[^-]++){0,200}+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+#: A secret word and its assignment; what follows is the value.
+_ASSIGNED = r"(?i:passw|passphrase|pwd|secret|token|credential|key|auth|bearer)[A-Za-z0-9_-]{0,24}+[\"'`]?[ \t]{0,4}+(?:=>|:=|=|:|is(?=[ \t]))[ \t]{0,4}+(?i:(?:bearer|basic)[ \t]{1,4}+)?"
+#: A value of 6 and more characters: quoted, or to the next space; another assignment after & is no part of it.
+_VALUE = r"(?:\"[^\"\r\n]{6,}+(?=\")|'[^'\r\n]{6,}+(?=')|`[^`\r\n]{6,}+(?=`)|(?=[^\s\"'`<>]{6})[^\s\"'`<>&]++(?:&(?![A-Za-z0-9_]{1,40}=)[^\s\"'`<>&]*+){0,40}+)"
+#: Key blocks, assigned values with what stands before them, quoted values, and 16 and more token characters with a letter and a digit among them.
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]{1,16384}+-----END [A-Z ]{0,40}PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9_+/.~-])(?=[A-Za-z_+/.~-]*+[0-9])(?=[0-9_+/.~-]*+[A-Za-z])[A-Za-z0-9_+/.~-]{16,}+={0,2}"
+    rf"{_BLOCK}|{_ASSIGNED}{_VALUE}"
+    rf"|(?<=[\"'`])(?![^\s\"'`]{{0,200}}?(?:://|{_ASSIGNED}))[^\s\"'`]{{6,}}+(?=[\"'`])"
+    rf"|(?<![A-Za-z0-9_+/.~-])(?=[A-Za-z_+/.~-]*+[0-9])(?=[0-9_+/.~-]*+[A-Za-z])(?![A-Za-z0-9_.-]{{0,60}}?{_ASSIGNED}{_VALUE})[A-Za-z0-9_+/.~-]{{16,}}+={{0,2}}"
 )
 #: Words whose presence beside a candidate speaks for or against a secret.
 _FOR = "key|token|secret|passw|pwd|auth|bearer|credential|api|private|session"
@@ -77,6 +85,8 @@ def labelled_examples(spark: SparkSession, how: Forest = Forest()) -> DataFrame:
 
     Their values come from hashes of row numbers, in the forms that issuers use;
     the others are commits, checksums, identifiers, host names, paths and slugs.
+    A third of both are short: passwords and plain letters, or words, quoted
+    phrases and placeholders. A tenth of the secrets are key blocks.
     """
 
     def make(id: Column) -> Column:
@@ -93,8 +103,30 @@ def labelled_examples(spark: SparkSession, how: Forest = Forest()) -> DataFrame:
         other = choose(7, piece(1, 40), piece(1, 64), F.concat_ws("-", piece(1, 8), piece(9, 4), piece(13, 4), piece(17, 4), piece(21, 12)), F.concat(word(8), F.lit("-"), word(9), F.lit("-"), word(10), F.lit("-20"), F.lpad(h(11, 30).cast("string"), 2, "0")), F.concat(F.lit("/usr/lib/"), word(12), F.lit("3."), h(13, 15).cast("string"), F.lit("/"), word(14), F.lit("/"), word(15), F.lit(".py")), F.concat(F.lit("mail"), h(16, 90).cast("string"), F.lit("."), word(17), F.lit(".example.com")), F.concat(F.lit("your_"), choose(18, "token", "api_key", "secret"), F.lit("_here_"), h(19, 99).cast("string")), F.concat(F.lit("get"), F.initcap(word(20)), F.lit("Code"), h(21, 900).cast("string"), F.initcap(word(22))), F.concat(F.repeat(F.lit("x"), h(23, 9) + 14), F.lit("1")))
         benign = choose(24, "commit ", "sha256:", "checksum: ", "see ", "uuid=", "request id ", "https://example.org/", "user@", "version ", "file ", "image: registry/", "in the text of ", "etag: \"", "md5 = ", "blob ", "digest ")
         benign = F.when(h(7, 9) == 6, F.concat(subject, F.lit(" = \""))).when(h(7, 9) < 2, choose(25, "commit ", "sha256:", "checksum: ", "blob ", "etag: \"", "md5 = ", "digest ", "revision ", "hash = ", "build ")).otherwise(benign)
+        short = h(30, 3) == 0
+        plain = lambda a, n: F.translate(F.substring(b64, a, n), "0123456789", "qzxwvkjhgf")
+        password = choose(31, F.substring(b64, 5, 8), F.substring(b64, 9, 13), F.concat(word(32), h(33, 99).cast("string"), word(34)), F.concat(F.substring(b64, 7, 6), choose(35, "&", "!", "$", "#", "@", "%", "*"), F.substring(b64, 30, 5)), F.concat(plain(3, 4), h(36, 9999).cast("string")), plain(11, 24), F.lower(plain(20, 24)), F.concat(F.lower(plain(2, 5)), h(37, 9).cast("string"), word(38)))
+        phrase = choose(41, "important", "required", "stored", "missing", "always", "needed", "written", "another", "something", "nothing", "undefined", "string", "optional", "invalid", "expired", "rotated", "Optional", "Required")
+        blank = choose(42, "${SECRET}", "<your-token>", "********", "[SECRET]", "process.env.TOKEN", "changeme", "your_password", "config.api_key", "os.environ", "xxxxxxxx", "{{ password }}", "not-set", "self.token")
+        said_word = F.concat(subject, choose(43, " is ", ": ", " = ", "=", ": \""))
+        prose = choose(44, "he called it \"", "the word '", "name = \"", "class=\"", "a text of `", "type: \"", "said \"", "id='")
+        named = choose(45, phrase, word(46), F.concat(word(47), F.lit("-"), word(48)), F.concat(word(49), h(50, 99).cast("string")), F.concat(word(51), F.lit("."), word(52)), F.concat(F.lower(plain(4, 5)), F.lit("ing")), F.initcap(word(53)))
+        spoken = h(54, 3) > 0
+        quoted = F.when(prose.endswith("'"), F.lit("' and")).when(prose.endswith("`"), F.lit("` and")).otherwise(F.lit("\" and"))
+        little = F.when(spoken, choose(55, phrase, blank, F.concat_ws(" ", phrase, word(56), phrase, F.lit("and so on")))).otherwise(named)
+        benign = F.when(short, F.when(spoken, said_word).otherwise(prose)).otherwise(benign)
+        other = F.when(short, little).otherwise(other)
+        rest = F.when(short & spoken, F.when(said_word.endswith("\""), F.lit("\" and")).otherwise(F.lit(" and so on"))).when(short, quoted).otherwise(F.lit(" and so on"))
+        random = F.when(short, password).otherwise(random)
+        kind = choose(61, " PRIVATE KEY", " RSA PRIVATE KEY", " PGP PRIVATE KEY BLOCK", " OPENSSH PRIVATE KEY")
+        header = choose(62, "\n", "\n", "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F\n\n", "\nVersion: 2\n\n")
+        block = F.concat(F.lit("-----BEGIN"), kind, F.lit("-----"), header, choose(63, piece(1, 64), F.concat(piece(1, 64), F.lit("\n"), piece(65, 64)), F.repeat(F.concat(F.substring(b64, 1, 64), F.lit("\n")), h(64, 30) + 1)), F.lit("\n-----END"), kind, F.lit("-----"))
+        whole = h(60, 10) == 0
+        said = F.when(whole, choose(65, "", "see ", "some words of a text.\n", "key: ", "in the file\n")).otherwise(said)
+        quote = F.when(whole, F.lit("")).otherwise(quote)
+        random = F.when(whole, block).otherwise(random)
         is_secret = id % 2 == 0
-        return F.struct(F.when(is_secret, F.concat(said, quote)).otherwise(benign).alias("before"), F.when(is_secret, random).otherwise(other).alias("token"), F.when(is_secret, F.concat(quote, F.lit(" and"))).otherwise(F.lit(" and so on")).alias("after"), is_secret.cast("double").alias("label"))
+        return F.struct(F.when(is_secret, F.concat(said, quote)).otherwise(benign).alias("before"), F.when(is_secret, random).otherwise(other).alias("token"), F.when(is_secret, F.concat(quote, F.lit(" and"))).otherwise(rest).alias("after"), is_secret.cast("double").alias("label"))
 
     # Inside a lambda the long expression is interpreted; as generated code it would exceed what Java allows a method.
     return spark.range(0, how.examples, 1, 4).select(F.transform(F.array("id"), make)[0].alias("row")).select("row.*")
@@ -175,8 +207,15 @@ class Scanner:
         # Arrays are zipped first: named inside a lambda, they would be computed again for each element.
         n = F.size("__tokens")
         out = out.withColumn("__zipped", F.arrays_zip(F.slice("__between", F.lit(1), n).alias("b"), F.col("__tokens").alias("t"), F.slice("__between", F.lit(2), n).alias("a")))
-        described = F.transform("__zipped", lambda x: F.struct(x["b"].alias("between"), x["t"].alias("token"), features(F.right(x["b"], F.lit(self.how.before)), x["t"], F.left(x["a"], F.lit(self.how.after))).alias("f")))
-        return out.withColumn("__parts", F.transform(described, lambda x: F.struct(x["between"].alias("between"), x["token"].alias("token"), F.round(self.score(x["f"]), 6).alias("score"))))
+        # An assigned value is found with what stands before it; that, and a sentence's signs after an unquoted one, are no part of the token.
+        head = lambda t: F.regexp_extract(t, rf"^{_ASSIGNED}[\"'`]?", 0)
+        tail = lambda t: F.regexp_extract(t, rf"^{_ASSIGNED}[^\"'`\s][^\s]*?([.,;:)\]}}]+)$", 1)
+        cut = F.transform("__zipped", lambda x: F.struct(x["b"].alias("b"), x["t"].alias("t"), x["a"].alias("a"), F.when(x["t"].rlike(rf"^{_ASSIGNED}[\"'`]?[^\r\n]{{6}}"), head(x["t"])).otherwise(F.lit("")).alias("h"), tail(x["t"]).alias("e")))
+        out = out.withColumn("__cut", cut)
+        named = F.transform("__cut", lambda x: F.struct(F.concat(x["b"], x["h"]).alias("b"), F.substring(x["t"], F.length(x["h"]) + 1, F.length(x["t"]) - F.length(x["h"]) - F.length(x["e"])).alias("t"), x["e"].alias("e"), F.concat(x["e"], x["a"]).alias("a")))
+        out = out.withColumn("__named", named)
+        described = F.transform("__named", lambda x: F.struct(x["b"].alias("between"), x["t"].alias("token"), x["e"].alias("tail"), features(F.right(x["b"], F.lit(self.how.before)), x["t"], F.left(x["a"], F.lit(self.how.after))).alias("f")))
+        return out.withColumn("__parts", F.transform(described, lambda x: F.struct(x["between"].alias("between"), x["token"].alias("token"), x["tail"].alias("tail"), F.round(self.score(x["f"]), 6).alias("score"))))
 
     def findings(self, docs: DataFrame) -> DataFrame:
         """(doc_id, n_candidates, n_secrets, findings) for each row of ``docs`` (doc_id, text).
@@ -192,7 +231,7 @@ class Scanner:
         def step(at: Column, x: Column) -> Column:
             place = at["at"] + F.length(x["between"])
             one = F.struct(place.alias("place"), F.length(x["token"]).alias("length"), x["score"].alias("score"), F.substring(F.sha2(x["token"], 256), 1, 16).alias("fingerprint"))
-            return F.struct((place + F.length(x["token"])).alias("at"), F.when(x["score"] >= self.how.threshold, F.concat(at["found"], F.array(one))).otherwise(at["found"]).alias("found"))
+            return F.struct((place + F.length(x["token"]) + F.length(x["tail"])).alias("at"), F.when(x["score"] >= self.how.threshold, F.concat(at["found"], F.array(one))).otherwise(at["found"]).alias("found"))
 
         found = F.aggregate("__parts", begin, step)["found"]
         return out.select("doc_id", F.size("__tokens").cast("long").alias("n_candidates"), found.alias("findings")).select("doc_id", "n_candidates", F.size("findings").cast("long").alias("n_secrets"), "findings")
@@ -202,6 +241,6 @@ class Scanner:
         names = docs.columns
         out = self._judged(docs)
         hit = F.exists("__parts", lambda x: x["score"] >= self.how.threshold)
-        parts = F.transform("__parts", lambda x: F.concat(x["between"], F.when(x["score"] >= self.how.threshold, F.lit(mask)).otherwise(x["token"])))
+        parts = F.transform("__parts", lambda x: F.concat(x["between"], F.when(x["score"] >= self.how.threshold, F.lit(mask)).otherwise(x["token"]), x["tail"]))
         text = F.when(hit, F.concat(F.array_join(parts, ""), F.element_at("__between", -1))).otherwise(F.col("text"))
         return out.withColumn("text", text).select(*names)

@@ -323,6 +323,18 @@ def test_secrets(spark, awkward, nothing):
     assert ((judged["s"] >= 0.5) == (judged["label"] > 0)).mean() > 0.95
 
 
+def test_short_secrets_and_blocks(spark):
+    h = hashlib.sha256(b"2").hexdigest()
+    values = {'password = "{}"': "hunter2secret", "password: {}, and": "Tr0ub4dor&3xyz", 'api_key = "{}"': "qwhzkXvbnmtrpLkjhgfdsazx", '"pwd": "{}"': "x7!kq2"}
+    blocks = [f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{h[:32].upper()}\n\n{h}\n-----END RSA PRIVATE KEY-----", f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: 2\n\n{h}\n=ab12\n-----END PGP PRIVATE KEY BLOCK-----"]
+    texts = [f"so {k.format(v)} on" for k, v in values.items()] + [f"see {b} here" for b in blocks]
+    plain = ["the key is important to all", "he said 'nothing' of it", 'class="response" id="handler"', "token: required, and so on"]
+    got = [r["text"] for r in secrets.Scanner(spark).redact(frame(spark, texts + plain)).orderBy("doc_id").collect()]
+    assert got == [f"so {k.format('[SECRET]')} on" for k in values] + ["see [SECRET] here"] * 2 + plain
+    at = secrets.Scanner(spark).findings(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [t[f["place"] : f["place"] + f["length"]] for t, r in zip(texts, at, strict=True) for f in r["findings"]] == [*values.values(), *blocks]
+
+
 # op7
 
 

@@ -4,8 +4,8 @@ Vectors are rotated by one fixed random orthogonal matrix and normalised; each
 keeps one sign bit for each dimension, its norm and the inner product of its
 unit vector with its code. From the bits, a query's inner product with a vector
 is estimated together with an error bound. In each block of vectors those whose
-lower bound on the distance does not exceed the k-th smallest upper bound are
-reranked on the original vectors; the k best of a block go on.
+lower bound on the distance does not exceed the k-th smallest upper bound of
+different ids are reranked on the original vectors; the k best ids of a block go on.
 
 Vectors and queries travel as blocks of fixed size, and every query block meets
 every code block once, so nothing is broadcast and no task holds more than two.
@@ -106,8 +106,9 @@ def search(vectors: DataFrame, queries: DataFrame, how: OneBit = OneBit()) -> Da
     Both inputs have (vec_id, embedding); other columns are left aside. A query
     is never its own candidate, and meets vectors of its own dimension only.
     Vectors that are null, zero or hold null or non-finite components take no
-    part on either side. Rows that share a vec_id are candidates each; as a
-    query such an id gets the nearest of all its vectors. Empty tables give none.
+    part on either side. Rows that share a vec_id are one candidate, by the
+    nearest of them; as a query such an id gets the nearest of all its vectors.
+    Empty tables give none.
     """
     base = stored(_blocks(valid(vectors), how.rows, True, how))
     asked = stored(_blocks(valid(queries), how.queries, False, how).select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors")))
@@ -123,17 +124,23 @@ def search(vectors: DataFrame, queries: DataFrame, how: OneBit = OneBit()) -> Da
                 q_ids, q = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.q_vectors).reshape(-1, r.dim)
                 bits = np.frombuffer(r.bits, np.uint8).reshape(len(ids), -1)
                 low, high = estimate(bits, np.frombuffer(r.norm), np.frombuffer(r.inner), q, rotation(r.dim, how.seed), how.bound)
+                # Upper bounds by id: the least of its rows.
+                known, of = np.unique(ids, return_inverse=True)
+                order = np.argsort(of, kind="stable")
+                bounds = np.minimum.reduceat(high[:, order], np.searchsorted(of[order], np.arange(len(known))), axis=1)
                 out = []
                 for i in range(len(q)):
                     other = ids != q_ids[i]
-                    high[i][~other] = np.inf
-                    n = min(how.k, int(other.sum()))
+                    bounds[i][known == q_ids[i]] = np.inf
+                    n = min(how.k, int((known != q_ids[i]).sum()))
                     if n == 0:
                         continue
-                    limit = np.partition(high[i], n - 1)[n - 1]
+                    limit = np.partition(bounds[i], n - 1)[n - 1]
                     near = np.flatnonzero(other & (low[i] <= limit))
                     d = np.sqrt(((x[near] - q[i]) ** 2).sum(axis=1))
-                    for j in np.lexsort((ids[near], d))[: how.k]:
+                    best = np.lexsort((ids[near], d))
+                    _, lead = np.unique(ids[near[best]], return_index=True)
+                    for j in best[np.sort(lead)[: how.k]]:
                         out.append((q_ids[i], ids[near[j]], d[j]))
                 yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 

@@ -360,6 +360,20 @@ def test_search_against_brute_force(spark):
     assert got.get(1004, []) == [] and ann.search(d.where("false"), d.where("false")).count() == 0
 
 
+def test_search_among_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((60, 8))
+    rows = [(i, x.tolist()) for i, x in enumerate(v) for _ in range(2)] + [(7, (v[0] + 0.001 * k).tolist()) for k in range(1, 30)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = ann.search(d, d.where("vec_id = 0"), ann.OneBit(bound=50.0)).orderBy("rank").collect()
+    x = np.array([x for _, x in rows], np.float32).astype(np.float64)
+    least = {}
+    for (i, _), dist in zip(rows, np.sqrt(((x - x[0]) ** 2).sum(axis=1)), strict=True):
+        least[i] = min(dist, least.get(i, np.inf))
+    want = sorted((s, i) for i, s in least.items() if i)[:10]
+    assert [r["vec_id"] for r in got] == [i for _, i in want] and [r["score"] for r in got] == pytest.approx([s for s, _ in want])
+
+
 # op8
 
 

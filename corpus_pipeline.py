@@ -34,17 +34,25 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates: the one with the smallest doc_id.
 
-    Of rows that repeat a doc_id one is kept. Documents without words and those
-    with a null doc_id link with nothing and all stay.
+    Rows that repeat a doc_id are told apart by their texts: of those with equal
+    texts one is kept, and a text goes only if it is a near duplicate itself.
+    Documents without words and those with a null doc_id link with nothing; the
+    latter all stay.
     """
     ship(spark)
-    found = jaccard_join.near_duplicates(docs)
-    gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct())
-    repeated = stored(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if not repeated.isEmpty():
-        again = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        docs = docs.join(repeated, "doc_id", "left_anti").unionByName(again)
-    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    repeated = stored(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        found = jaccard_join.near_duplicates(docs)
+        gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct())
+        return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.withColumn("__key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
+    found = jaccard_join.near_duplicates(rows.select(F.col("__key").alias("doc_id"), "text"))
+    of = found.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    of = stored(of.join(rows.where("doc_id IS NOT NULL").select("__key", "doc_id").distinct(), "__key"))
+    first = of.groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("first")).select(F.col("first.__key").alias("__key"))
+    gone = stored(of.join(first, "__key", "left_anti").select("__key"))
+    once = rows.where("doc_id IS NOT NULL").dropDuplicates(["__key"]).unionByName(rows.where("doc_id IS NULL"))
+    return once.join(small(gone), "__key", "left_anti").select(*docs.columns)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,6 +45,16 @@ def test_stages(spark, tmp_path):
     assert sum(r["length"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sum(want.values())
 
 
+def test_repeated_ids_keep_their_clean_texts(spark):
+    body = lambda k: " ".join(f"word{k}x{i}" for i in range(40))
+    rows = [(2, body(1)), (5, body(1) + " end"), (5, body(2)), (5, body(2)), (5, body(3)), (6, body(3) + " end"), (7, ""), (None, body(1)), (None, body(1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text"))
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(-1, body(1)), (-1, body(1)), (2, body(1)), (5, body(2)), (5, body(3)), (7, "")]
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in got.collect()) == want
+
+
 def test_empty_input(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))

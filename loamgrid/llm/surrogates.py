@@ -5,7 +5,10 @@ numbers of that length, so two numbers never share a surrogate and the layout
 stays. Addresses and names get keyed values; names keep gender, script and case.
 Values that are drawn from lists can clash, so the distinct names and addresses
 of the whole table are checked and those that clash are drawn again. One entity
-gets one surrogate wherever and however it is written.
+gets one surrogate wherever and however it is found.
+
+A name is found only right after one of a fixed list of titles. Its mentions
+without a title stay in clear text, even in the same document.
 """
 
 from __future__ import annotations

@@ -18,6 +18,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loamgrid.llm.common import stored
+
 #: A private-key block, with header lines or without.
 _BLOCK = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----[^-]++(?:-{1,4}+[^-]++){0,200}+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
 #: A secret word and its assignment; what follows is the value.
@@ -89,9 +91,7 @@ def labelled_examples(spark: SparkSession, how: Forest = Forest()) -> DataFrame:
     phrases and placeholders. A tenth of the secrets are key blocks.
     """
 
-    def make(id: Column) -> Column:
-        digest = F.sha2(F.concat_ws("-", F.lit(str(how.seed)), id.cast("string")), 512)
-        b64 = F.regexp_replace(F.base64(F.unhex(digest)), "[+/=\\s]", "")
+    def make(id: Column, digest: Column, b64: Column) -> Column:
         h = lambda salt, n: F.pmod(F.xxhash64(id, F.lit(salt + how.seed)), F.lit(n)).cast("int")
         choose = lambda salt, *xs: F.element_at(F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs]), h(salt, len(xs)) + 1)
         piece = lambda a, n: F.substring(digest, a, n)
@@ -129,7 +129,10 @@ def labelled_examples(spark: SparkSession, how: Forest = Forest()) -> DataFrame:
         return F.struct(F.when(is_secret, F.concat(said, quote)).otherwise(benign).alias("before"), F.when(is_secret, random).otherwise(other).alias("token"), F.when(is_secret, F.concat(quote, F.lit(" and"))).otherwise(rest).alias("after"), is_secret.cast("double").alias("label"))
 
     # Inside a lambda the long expression is interpreted; as generated code it would exceed what Java allows a method.
-    return spark.range(0, how.examples, 1, 4).select(F.transform(F.array("id"), make)[0].alias("row")).select("row.*")
+    # What is used many times is a column of a stored table, so that it is not copied into the expression each time.
+    digest = F.sha2(F.concat_ws("-", F.lit(str(how.seed)), F.col("id").cast("string")), 512)
+    base = stored(spark.range(0, how.examples, 1, 4).select("id", digest.alias("digest"), F.regexp_replace(F.base64(F.unhex(digest)), "[+/=\\s]", "").alias("b64")))
+    return stored(base.select(F.transform(F.array(F.struct("id", "digest", "b64")), lambda r: make(r["id"], r["digest"], r["b64"]))[0].alias("row")).select("row.*"))
 
 
 class _Trees:
@@ -191,6 +194,8 @@ class Scanner:
     @staticmethod
     def _fit(rows: DataFrame, how: Forest) -> _Trees:
         described = rows.select(F.transform(F.array(F.struct("before", "token", "after")), lambda x: features(x["before"], x["token"], x["after"]))[0].alias("f"), F.col("label").cast("double").alias("label")).select("f.*", "label").na.drop()
+        # The fit reads its rows several times.
+        described = stored(described)
         frame = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(described)
         fitted = RandomForestClassifier(numTrees=how.trees, maxDepth=how.depth, seed=how.seed, featureSubsetStrategy="sqrt").fit(frame)
         return _Trees([t._call_java("rootNode") for t in fitted.trees], how.depth)

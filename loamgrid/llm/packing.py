@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 
 from loamgrid.llm.common import slices
 
-#: In each text this string needs the slower tokenizer that can read it as ordinary text.
+#: Texts with this string, which has an id of its own, go through the slower tokenizer.
 _SPECIAL = "<|endoftext|>"
 
 
 def byte_bpe(path: str | None = None) -> Callable[[list[str]], list[list[int]]]:
-    """Encoder for the public 50k byte-level BPE at ``path`` (a ``tokenizers`` file).
+    """Encoder for the public 50k byte-level BPE at ``path`` (a ``tokenizers`` file), as it is and without added tokens.
 
-    The same vocabulary's rank file beside it, where there is one, is read by a
+    The name of the special token has that token's id wherever a text spells it out. The same vocabulary's rank file beside it, where there is one, is read by a
     faster library that yields the same ids; tests hold the two against each other.
     """
     import base64
@@ -41,9 +41,7 @@ def byte_bpe(path: str | None = None) -> Callable[[list[str]], list[list[int]]]:
 
     @functools.cache
     def plain() -> Tokenizer:
-        out = Tokenizer.from_file(path)
-        out.encode_special_tokens = True
-        return out
+        return Tokenizer.from_file(path)
 
     ranks = path.removesuffix(".json") + ".tiktoken"
     if not os.path.exists(ranks):

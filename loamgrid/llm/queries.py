@@ -8,61 +8,71 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgrid.llm import ann, decontamination, jaccard_join, langid, maxent_lm, packing, secrets, sharding, surrogates, toxicity
-from loamgrid.llm.common import remainder, table
+from loamgrid.llm.common import held_out, remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in its sequence; see packing.pack for nulls, repeats and empty tables."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document; see jaccard_join.near_duplicates."""
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit words and items of every document; see decontamination.hits."""
     return decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "spans")
 
 
 def op9_cross_parsing_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; rows without doc_id are held out. See langid.predict."""
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(remainder(F.col("doc_id"), 3) != 1))
     out = langid.predict(docs, model)
-    return out.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
 
 
 def op8_weighted_lexicon_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; rows without doc_id are held out. See toxicity.score."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     fold = remainder(F.col("doc_id"), 4)
     model = toxicity.fit(docs.where(fold != 2), labels.where(fold != 2))
     out = toxicity.score(docs, model)
-    return out.select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "hits")
+    return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "hits")
 
 
 def op7_rotated_one_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one; see ann.search."""
     vectors = table(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.where("vec_id % 100 = 0"))
 
 
 def op3_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document; see sharding.shard."""
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
 def op6_forest_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates and secrets of every document; see secrets.Scanner.findings."""
     return secrets.Scanner(spark).findings(table(spark, sf_dir, "documents"))
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced; see surrogates.replace."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return surrogates.replace(docs, surrogates.Surrogates(key="corpus-round"))
 
 
 def op4_hashed_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and model score of every document; rows without doc_id are held out. See maxent_lm.fit_and_score."""
     docs = table(spark, sf_dir, "documents")
     fold = remainder(F.col("doc_id"), 10)
     out = maxent_lm.fit_and_score(docs, docs.where(fold != 0))
-    return out.select("doc_id", (fold == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", held_out(F.col("doc_id"), 10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 QUERIES: dict[str, Query] = {

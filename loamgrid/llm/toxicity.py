@@ -123,6 +123,19 @@ def mine(rows: DataFrame, how: Lexicon) -> dict[str, float]:
     return weights
 
 
+def _outside(hits: list[tuple], spared: list[tuple]) -> list[tuple]:
+    """The hits (begin, end, weight) that lie inside no spared stretch, by one sweep over both in order of their beginnings."""
+    out, k, reach = [], 0, -1
+    spared.sort(key=lambda x: x[0])
+    for h in sorted(hits, key=lambda x: x[0]):
+        while k < len(spared) and spared[k][0] <= h[0]:
+            reach = max(reach, spared[k][1])
+            k += 1
+        if h[1] > reach:
+            out.append(h)
+    return out
+
+
 class Matcher:
     def __init__(self, model: Model):
         import ahocorasick
@@ -141,7 +154,7 @@ class Matcher:
         for end, (n, w) in self.machine.iter(folded):
             (spared if w is None else hits).append((end - n + 1, end, w))
         if spared:
-            hits = [h for h in hits if not any(s <= h[0] and h[1] <= e for s, e, _ in spared)]
+            hits = _outside(hits, spared)
         total = sum(w for _, _, w in hits)
         words = max(1, folded.count(" ") - 1)
         return math.log1p(total), math.log1p(100 * total / words), len(hits)

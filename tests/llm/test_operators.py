@@ -94,9 +94,8 @@ def test_tokenizers_agree():
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     rng = random.Random(1)
-    texts = ["", "<|endoftext|>", "don't  stop\n\n", *("".join(rng.choices("ab 1é'!\n\t語🙂ــx", k=50)) for _ in range(100))]
+    texts = ["", "<|endoftext|>", "hello <|endoftext|> world", "don't  stop\n\n", *("".join(rng.choices("ab 1é'!\n\t語🙂ــx", k=50)) for _ in range(100))]
     assert packing.byte_bpe()(texts) == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -422,10 +421,31 @@ def test_parses_are_the_longest(spark):
     for _ in range(40):
         t = langid.letters("".join(rng.choices("abcdngre u", k=30)))
         codes = model.alphabet[np.frombuffer(t.encode("utf-32-le"), np.uint32)].astype(np.int64)
-        got = langid.phrases(*model.stacked(), codes, np.array([0]), np.array([len(codes)]))[0, 0]
+        got = langid.phrases(*model.stacked(), codes, np.array([0]), np.array([len(codes)]), np.array([0]))[0, 0]
         assert got in {longest_phrases(s, t) + d for s in model_sample for d in (0, 1)}
 
 
+@pytest.mark.parametrize("trace", [0, 3, 48])
+def test_cut_texts_parse_as_whole_ones(spark, trace):
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(lang, " ".join("".join(rng.choices(signs, k=rng.randrange(1, 6))) for _ in range(150))) for lang, signs in (("a", "abcab"), ("b", "bcdb"), ("c", "ade"))], "lang string, text string")
+    model = langid.fit(docs)
+    texts = [langid.letters("".join(rng.choices("abcde ", k=k))) or "a" for k in (1, 3, 8, 200, 900, 40)]
+    codes = model.alphabet[np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)].astype(np.int64)
+    ends = np.cumsum([len(t) for t in texts])
+    want = langid.phrases(*model.stacked(), codes, ends - [len(t) for t in texts], ends, np.arange(len(texts)))
+    for piece in (1, 2, 7, 64):
+        cuts = [(s, min(s + piece, e), i) for i, (e, t) in enumerate(zip(ends, texts, strict=True)) for s in range(e - len(t), e, piece)]
+        starts, stops, row = (np.array(x) for x in zip(*cuts, strict=True))
+        assert (langid.phrases(*model.stacked(), codes, starts, stops, row, trace) == want).all()
+
+
+def test_sample_is_drawn_from_whole_texts(spark):
+    """The letters that tell a language stand far behind in its only text."""
+    docs = spark.createDataFrame([("x" * 3000 + "".join(chr(0x561 + i % 30) for i in range(3000)), "hy")], "text string, lang string")
+    assert (langid.fit(docs).alphabet > 0).sum() >= 31
+
+
 def test_language(spark, awkward, nothing):
     got = queries.op9_cross_parsing_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").where("held_out").toPandas()
     assert (got["lang_pred"] == got["lang"]).mean() > 0.97 and got["score"].between(0, 1).all()

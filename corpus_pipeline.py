@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgrid.llm import decontamination, jaccard_join, langid, packing, secrets
-from loamgrid.llm.common import ship, small, stored, table
+from loamgrid.llm.common import aside, ship, small, stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -27,8 +27,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs)
     if not model.languages:
         return docs
-    out = langid.annotate(docs, model)
-    return out.where("lang_pred <> 'und'").withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    rows, back = aside(docs, "text", "lang")
+    found = langid.annotate(rows, model).where("lang_pred <> 'und'")
+    return back(found.withColumn("lang", F.coalesce("lang", "lang_pred")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,6 +46,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         found = jaccard_join.near_duplicates(docs)
         gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct())
         return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    docs, back = aside(docs, "doc_id", "text")
     rows = docs.withColumn("__key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text")))
     found = jaccard_join.near_duplicates(rows.select(F.col("__key").alias("doc_id"), "text"))
     of = found.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("__key"), "component_id").distinct()
@@ -52,7 +54,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = of.groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("first")).select(F.col("first.__key").alias("__key"))
     gone = stored(of.join(first, "__key", "left_anti").select("__key"))
     once = rows.where("doc_id IS NOT NULL").dropDuplicates(["__key"]).unionByName(rows.where("doc_id IS NULL"))
-    return once.join(small(gone), "__key", "left_anti").select(*docs.columns)
+    return back(once.join(small(gone), "__key", "left_anti"))
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ word is compared before anything counts.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,34 +20,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamgrid.llm import wordhash as wh
-from loamgrid.llm.common import slices
+from loamgrid.llm.common import slices, stored
 
 _U = np.uint64
 
 
 @dataclass(frozen=True)
 class Windows:
-    """words: window length; shingle: words of a shingle; block_bytes: text of items that one pass over the documents may hold."""
+    """words: window length; shingle: words of a shingle; block_bytes: text of items that one pass over the documents
+    may hold, which makes an index of some eight times that in each task."""
 
     words: int = 10
     shingle: int = 3
-    block_bytes: int = 32 << 20
+    block_bytes: int = 8 << 20
 
 
 @dataclass
 class _Index:
-    length: np.ndarray  # words of each distinct window
-    words: np.ndarray  # their hashes, a row for each window, zero beyond its length
+    stream: np.ndarray  # hashes of the items' words, one item behind the other
+    start: np.ndarray  # distinct window -> its first word in the stream
+    length: np.ndarray  # its words
     names_from: np.ndarray  # window -> range in names
     names: np.ndarray  # numbers of items
     items: list[str]
-    shingles: np.ndarray  # sorted distinct hashes of all windows' shingles
-    shingle_of: np.ndarray  # (window, place) -> number of the shingle, -1 beyond
     sizes: list[int]  # words that shingles have: shorter ones only for very short items
-    keys: np.ndarray | None = None  # sorted rarest shingles
-    key_from: np.ndarray | None = None  # key -> range in key_window and key_place
-    key_window: np.ndarray | None = None
-    key_place: np.ndarray | None = None
+    keys: np.ndarray  # sorted rarest shingles
+    key_from: np.ndarray  # key -> range in key_window and key_place
+    key_window: np.ndarray
+    key_place: np.ndarray
 
 
 class _Known:
@@ -70,65 +71,89 @@ class _Known:
         return at[ok], no[ok]
 
 
-def _index(ids: list[str | None], texts: list[str | None], how: Windows) -> _Index:
-    h, first, _, _ = wh.words(pa.array(texts, pa.large_string()), wh.ALNUM)
-    seen: dict[bytes, int] = {}
-    rows, length, owners = [], [], []
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+@dataclass
+class _Items:
+    """Distinct windows of a block of items, before their rarest shingles are known."""
+
+    stream: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    names_from: np.ndarray
+    names: np.ndarray
+    items: list[str]
+    sizes: list[int]
+
+    def shingles(self, place: int) -> tuple[np.ndarray, np.ndarray]:
+        """(windows that have a shingle at this place, its hash)."""
+        out, whole = [], []
+        for k in self.sizes:
+            at = np.flatnonzero((np.minimum(self.length, self.sizes[-1]) == k) & (self.length >= place + k))
+            out.append(at)
+            whole.append(wh.runs(self.stream, k)[self.start[at] + place])
+        return np.concatenate(out), np.concatenate(whole)
+
+
+def _windows(ids: list[str | None], texts: list[str | None], how: Windows) -> _Items:
+    """The distinct windows of items, by whole arrays; equal ones are told by two hashes of all their words."""
+    parts, counts = [], []
+    for part in slices(pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.large_string())}), "text"):
+        h, first, _, _ = wh.words(part.column("text"), wh.ALNUM)
+        parts.append(h)
+        counts.append(np.diff(first))
+    stream = np.concatenate([*parts, np.zeros(0, _U)])
+    n = np.concatenate([*counts, np.zeros(0, np.int64)])
+    size = np.minimum(n, how.words)
+    many = np.where(n > 0, n - size + 1, 0)
+    item = np.repeat(np.arange(len(n)), many)
+    start = np.repeat(np.cumsum(n) - n, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    length = size[item]
+    one, two = length.astype(_U), wh.mix(length.astype(_U) + _U(1))
+    for i in range(how.words):
+        # Words beyond a short window count as nothing.
+        w = np.where(i < length, stream[np.minimum(start + i, max(0, len(stream) - 1))], _U(0)) if len(stream) else np.zeros(0, _U)
+        one, two = wh.mix(one * wh._STEP + w), wh.mix(two ^ w) * wh._STEP + _U(i)
     items = sorted({i for i in ids if i is not None})
     number = {x: k for k, x in enumerate(items)}
-    for name, a, b in zip(ids, first[:-1], first[1:], strict=True):
-        n = min(how.words, int(b - a))
-        for s in range(a, b - n + 1) if n else ():
-            w = h[s : s + n]
-            k = seen.setdefault(w.tobytes(), len(rows))
-            if k == len(rows):
-                rows.append(np.concatenate((w, np.zeros(how.words - n, _U))))
-                length.append(n)
-                owners.append(set())
-            if name is not None:
-                owners[k].add(number[name])
-    length = np.array(length, np.int64)
-    words = np.array(rows, _U).reshape(len(rows), how.words)
-    names_from = np.concatenate(([0], np.cumsum([len(x) for x in owners], dtype=np.int64))).astype(np.int64)
-    names = np.array([y for x in owners for y in sorted(x)], np.int64)
-    sizes = sorted({min(how.shingle, int(n)) for n in length})
-    hashes = np.zeros((len(rows), how.words), _U)
-    there = np.zeros((len(rows), how.words), bool)
-    for k in sizes:
-        at = np.flatnonzero(np.minimum(length, how.shingle) == k)
-        for p in range(how.words - k + 1):
-            ok = at[length[at] >= p + k]
-            hashes[ok, p] = _whole(words[ok, p : p + k])
-            there[ok, p] = True
-    shingles = np.unique(hashes[there])
-    shingle_of = np.where(there, np.searchsorted(shingles, hashes), -1)
-    return _Index(length, words, names_from, names, items, shingles, shingle_of, sizes)
-
-
-def _whole(w: np.ndarray) -> np.ndarray:
-    """Hash of each row's words, equal to wordhash.runs over that many words."""
-    out = w[:, 0].copy()
-    for i in range(1, w.shape[1]):
-        out = out * wh._STEP + w[:, i]
-    return wh.mix(out ^ _U(w.shape[1]))
-
-
-def _rarest(index: _Index, counts: np.ndarray) -> None:
-    """Picks each window's rarest shingle by its count over all documents; ties go to the smaller hash."""
+    owner = np.array([number.get(i, -1) for i in ids], np.int64)[item] if len(item) else np.zeros(0, np.int64)
+    order = np.lexsort((owner, two, one))
+    one, two, owner = one[order], two[order], owner[order]
+    fresh = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))) if len(order) else np.zeros(0, bool)
+    window = np.cumsum(fresh) - 1
+    named = (owner >= 0) & (fresh | np.concatenate(([True], owner[1:] != owner[:-1])) if len(order) else fresh)
+    lead = order[fresh]
+    names_from = np.concatenate(([0], np.cumsum(np.bincount(window[named], minlength=len(lead)))))
+    sizes = np.unique(np.minimum(length, how.shingle)).tolist()
+    return _Items(stream, start[lead].astype(np.int32), length[lead].astype(np.int32), names_from.astype(np.int32), owner[named].astype(np.int32), items, sizes)
+
+
+def _rarest(of: _Items, shingles: np.ndarray, counts: np.ndarray) -> _Index:
+    """The index, with each window's rarest shingle by its count over all documents; ties go to the smaller hash, then the earlier place."""
     order = np.empty(len(counts), np.int64)
-    order[np.lexsort((index.shingles, counts))] = np.arange(len(counts))
-    rank = np.where(index.shingle_of >= 0, order[index.shingle_of], len(counts) + 1)
-    place = rank.argmin(axis=1)
-    key = index.shingle_of[np.arange(len(place)), place]
+    order[np.lexsort((shingles, counts))] = np.arange(len(counts))
+    best = np.full(len(of.start), len(counts), np.int64)
+    place = np.zeros(len(of.start), np.int8)
+    for p in range(int(of.length.max(initial=0))):
+        at, whole = of.shingles(p)
+        by = np.argsort(whole)
+        rank = np.empty(len(at), np.int64)
+        rank[by] = order[np.searchsorted(shingles, whole[by])]
+        less = rank < best[at]
+        best[at[less]], place[at[less]] = rank[less], p
+    key = shingles[np.argsort(order)[best]] if len(counts) else np.zeros(0, _U)
     by = np.argsort(key, kind="stable")
-    used, start = np.unique(key[by], return_index=True)
-    index.keys, index.key_from = index.shingles[used], np.append(start, len(by))
-    index.key_window, index.key_place = by, place[by]
+    keys, at = np.unique(key[by], return_index=True)
+    return _Index(of.stream, of.start, of.length, of.names_from, of.names, of.items, of.sizes, keys, np.append(at, len(by)).astype(np.int32), by.astype(np.int32), place[by])
 
 
-def _counts(docs: DataFrame, index: _Index) -> np.ndarray:
-    """Occurrences over all documents of the shingles that items have."""
-    sent = docs.sparkSession.sparkContext.broadcast((index.shingles, index.sizes))
+def _counts(docs: DataFrame, shingles: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Occurrences over all documents of the ``shingles`` (sorted) that items have."""
+    sent = docs.sparkSession.sparkContext.broadcast((shingles, sizes))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sizes = sent.value
@@ -143,7 +168,7 @@ def _counts(docs: DataFrame, index: _Index) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["no", "n"])
 
-    total = np.zeros(len(index.shingles), np.int64)
+    total = np.zeros(len(shingles), np.int64)
     for r in docs.select("text").mapInArrow(count, "no long, n long").groupBy("no").agg(F.sum("n").alias("n")).toLocalIterator():
         total[r["no"]] = r["n"]
     return total
@@ -162,17 +187,20 @@ def _matches(index: _Index, known: _Known, h: np.ndarray, first: np.ndarray) ->
     starts, windows = [], []
     for k in index.sizes:
         at, no = known.find(wh.runs(h, k))
-        for lo in range(0, len(at), 1 << 16):  # bounds the memory that common shingles take
-            q, key = at[lo : lo + (1 << 16)], no[lo : lo + (1 << 16)]
+        # Parts with about as many windows to try, which bounds the memory that common shingles take.
+        tries = np.cumsum(index.key_from[no + 1] - index.key_from[no].astype(np.int64))
+        cuts = [*np.unique(np.searchsorted(tries, np.arange(0, int(tries[-1]) if len(tries) else 0, 1 << 18))).tolist(), len(at)]
+        for lo, hi in itertools.pairwise(cuts):
+            q, key = at[lo:hi], no[lo:hi]
             of, e = _ranges(index.key_from[key], index.key_from[key + 1])
             w = index.key_window[e]
             s = q[of] - index.key_place[e]
             row = row_of[q[of]]
             ok = (np.minimum(index.length[w], k) == k) & (s >= first[row]) & (s + index.length[w] <= first[row + 1])
             s, w = s[ok], w[ok]
-            for i in range(index.words.shape[1]):
+            for i in range(int(index.length.max(initial=0))):
                 n = index.length[w]
-                ok = (i >= n) | (h[np.minimum(s + i, len(h) - 1)] == index.words[w, i])
+                ok = (i >= n) | (h[np.minimum(s + i, len(h) - 1)] == index.stream[np.minimum(index.start[w] + i, len(index.stream) - 1)])
                 s, w = s[ok], w[ok]
             starts.append(s)
             windows.append(w)
@@ -246,17 +274,23 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, how: Windows) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-int(size) // how.block_bytes))
+    # Windows of no item count the words.
+    none = np.zeros(0, np.int32)
+    nothing = _Index(np.zeros(0, _U), none, none, np.zeros(1, np.int32), none, [], [], np.zeros(0, _U), np.zeros(1, np.int32), none, none)
     out = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("array<long>").alias("spans"))
+    passes = 0
     for b in range(blocks):
         held = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toPandas()
-        index = _index(held["item_id"].tolist(), held["text"].tolist(), how)
-        if len(index.length):
-            _rarest(index, _counts(docs, index))
-        else:
-            index.keys, index.key_from = np.zeros(0, _U), np.zeros(1, np.int64)
-            index.key_window = index.key_place = np.zeros(0, np.int64)
-            index.names_from = np.zeros(1, np.int64)
-        out = _pass(out, index, how)
+        of = _windows(held["item_id"].tolist(), held["text"].tolist(), how)
+        if not len(of.start):
+            continue
+        passes += 1
+        shingles = _distinct(np.concatenate([_distinct(of.shingles(p)[1]) for p in range(int(of.length.max()))]))
+        out = _pass(out, _rarest(of, shingles, _counts(docs, shingles, of.sizes)), how)
+        if blocks > 1:
+            out = stored(out)  # so that a task holds one index at a time, and a lost one costs one pass
+    if not passes:
+        out = _pass(out, nothing, how)
     pair = F.sequence(F.lit(0), F.floor(F.size("spans") / 2).cast("int") - 1)
     n_hit = F.when(F.size("spans") > 0, F.aggregate(pair, F.lit(0).cast("long"), lambda n, i: n + F.element_at("spans", 2 * i + 2) - F.element_at("spans", 2 * i + 1))).otherwise(F.lit(0).cast("long"))
     return out.withColumn("n_hit", n_hit)

@@ -18,7 +18,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm.common import stored
+from loamgrid.llm.common import aside, stored
 
 #: A private-key block, with header lines or without.
 _BLOCK = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----[^-]++(?:-{1,4}+[^-]++){0,200}+-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
@@ -243,9 +243,9 @@ class Scanner:
 
     def redact(self, docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
         """``docs``, all columns kept, with each secret in ``text`` replaced by ``mask``; other text is untouched, null stays null."""
-        names = docs.columns
-        out = self._judged(docs)
+        rows, back = aside(docs, "text")
+        out = self._judged(rows)
         hit = F.exists("__parts", lambda x: x["score"] >= self.how.threshold)
         parts = F.transform("__parts", lambda x: F.concat(x["between"], F.when(x["score"] >= self.how.threshold, F.lit(mask)).otherwise(x["token"]), x["tail"]))
         text = F.when(hit, F.concat(F.array_join(parts, ""), F.element_at("__between", -1))).otherwise(F.col("text"))
-        return out.withColumn("text", text).select(*names)
+        return back(out.withColumn("text", text))

@@ -9,6 +9,10 @@ import corpus_pipeline
 from loamgrid.llm import packing
 
 
+#: Names that stages might use themselves.
+EXTRA = ("lang_pred", "__tokens", "__between", "__key", "__0", "n_hit", "items", "node", "component_id")
+
+
 def words(text):
     return (text or "").encode().lower().split()
 
@@ -24,7 +28,8 @@ def test_stages(spark, tmp_path):
     passage = "one two three four five six seven eight nine ten eleven twelve"
     texts = {1: body(1), 2: body(1) + " end", 3: body(2), 4: f"{body(4)} {passage} {body(5)}", 5: "12345 --- !!!", 6: None, 7: f'{body(6)} token = "{token}" more', 8: "", 9: body(3)}
     rows = [(i, t, "en" if i % 2 else None, "s", len(t or "")) for i, t in texts.items()] + [(9, texts[9], "en", "s", len(texts[9]))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("score", F.lit(1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", F.col("doc_id").alias("score"), *[F.concat(F.lit("own "), F.col("doc_id").cast("string")).alias(c) for c in EXTRA])
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     kept = {}
@@ -33,7 +38,10 @@ def test_stages(spark, tmp_path):
         at = stage(spark, at, str(tmp_path))
         if name != "packing":
             assert at.columns == docs.columns
-            kept[name] = {r["doc_id"]: r["text"] for r in at.collect()}
+            rows = at.collect()
+            kept[name] = {r["doc_id"]: r["text"] for r in rows}
+            assert all(r["score"] == r["doc_id"] and all(r[c] == f"own {r['doc_id']}" for c in EXTRA) for r in rows)
+            assert at.schema["score"].dataType == docs.schema["score"].dataType
     assert set(kept["language"]) == {1, 2, 3, 4, 7, 9}
     a, b = shingles(texts[1]), shingles(texts[2])
     assert len(a & b) / len(a | b) >= 0.8 and set(kept["near_duplicates"]) == {1, 3, 4, 7, 9}

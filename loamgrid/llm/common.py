@@ -9,9 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.staging import shared_dir, ship, stored
+from loamgrid.staging import free, shared_dir, ship, stored
 
-__all__ = ["aside", "held_out", "remainder", "shared_dir", "ship", "slices", "small", "stored", "table"]
+__all__ = ["aside", "free", "held_out", "met_by", "remainder", "shared_dir", "ship", "slices", "small", "stored", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,17 @@ def small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def met_by(rows: DataFrame, found: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``found``, an aggregate over the whole number ``key``, by that key.
+
+    The join compares the key's complement, so that both sides have shuffles of
+    their own: Spark can then split a crowded key, which it cannot do where a
+    side is still dealt out for its aggregate.
+    """
+    apart = found.withColumn("~", F.bitwise_not(key)).drop(key)
+    return rows.withColumn("~", F.bitwise_not(key)).join(apart, "~", how).drop("~")
+
+
 def remainder(doc_id, by: int):
     """crc32 of doc_id as text, modulo ``by``: the fixed split into training and held-out rows; null for a null doc_id."""
     return F.crc32(doc_id.cast("string")) % F.lit(by)

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.llm.common import stored
+from loamgrid.llm.common import met_by, stored
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """edges (u, v) with u > v. Large: every neighbour above u is tied to u's least; small: every one below."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    tied = both.join(least, "u")
+    tied = met_by(both, least, "u")
     if large:
         out = tied.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -34,7 +34,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct())
     before = _print(edges)
     while True:
-        edges = stored(_stars(_stars(edges, True), False))
+        edges = stored(_stars(_stars(edges, True), False), [edges])
         after = _print(edges)
         if after == before:
             break

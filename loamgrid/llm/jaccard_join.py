@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgrid.llm import wordhash as wh
-from loamgrid.llm.common import slices, small, stored
+from loamgrid.llm.common import met_by, slices, small, stored
 from loamgrid.llm.graph import components
 
 _U = np.uint64
@@ -155,11 +155,11 @@ def _shared(single: DataFrame) -> DataFrame:
     """
     rows = single.select("node", F.posexplode("tokens").alias("pos", "token"))
     common = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    return _placed(rows.join(common, "token").join(single.drop("tokens"), "node"))
+    return stored(_placed(met_by(rows, common, "token", "left_semi").join(single.drop("tokens"), "node")))
 
 
 def verified(docs: DataFrame, pairs: DataFrame, how: Jaccard) -> DataFrame:
-    """The pairs (a, b) of doc_ids, each given once, whose shingle sets reach the threshold."""
+    """The pairs (a, b) of doc_ids, each given once, whose shingle sets reach the threshold; a stored table."""
     pivots = (np.arange(1, 16, dtype=np.uint64) << _U(60)).astype(_U)
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +190,7 @@ def verified(docs: DataFrame, pairs: DataFrame, how: Jaccard) -> DataFrame:
     ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
     sets = stored(docs.select("doc_id", "text").join(small(ids, how.sent_ids), "doc_id", "left_semi").mapInArrow(load, "doc_id long, items binary").distinct())
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
+    return stored(both.select("a", "b", "x", "y").mapInArrow(decide, "a long, b long"), [ids, sets])
 
 
 def _apart(met: DataFrame, found: DataFrame | None, how: Jaccard) -> DataFrame:
@@ -205,9 +205,17 @@ def _apart(met: DataFrame, found: DataFrame | None, how: Jaccard) -> DataFrame:
     else:
         left = left.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = left.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-        left = left.join(several, "token", "left_semi")
+        left = met_by(left, several, "token", "left_semi")
     past = Window.partitionBy("node").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return stored(_placed(left).withColumn("earlier", F.slice(F.collect_list("token").over(past), 1, _EARLIER)))
+    # Only the first tokens are gathered, so a set of any size costs its rows and not their square.
+    earlier = F.collect_list(F.when(F.col("before") < _EARLIER, F.col("token"))).over(past)
+    return stored(_placed(left).withColumn("earlier", earlier))
+
+
+def _paired(rows: DataFrame, few: DataFrame, condition: str) -> DataFrame:
+    """x of ``rows`` beside y of ``few``, an aggregate over tokens, under the same token; see met_by() for the complement."""
+    y = few.withColumn("apart", F.bitwise_not("token")).drop("token")
+    return rows.alias("x").join(y.alias("y"), F.expr(f"~x.token = y.apart AND {condition}"))
 
 
 def _crowded(left: DataFrame) -> bool:
@@ -221,8 +229,8 @@ def _partners(left: DataFrame, how: Jaccard, again: int) -> DataFrame:
     """Distinct pairs (a, b) of each row's node with a random node of another component, under the same shingle."""
     pick = F.struct(F.xxhash64("node", F.pmod("token", F.lit(how.picks)), F.lit(again + 1)).alias("by"), *(F.col(c) for c in ("node", "n", "before", "after", *_PARITY)))
     best = left.groupBy("token", "component").agg(F.min(pick).alias("best"))
-    two = best.withColumn("k", F.row_number().over(Window.partitionBy("token").orderBy("best.by", "component"))).where("k <= 2").select("token", "component", "best.*")
-    met = left.alias("x").join(two.alias("y"), F.expr(f"x.token = y.token AND x.component <> y.component AND {_bounds(how.percent)}"))
+    two = best.withColumn("k", F.row_number().over(Window.partitionBy("token").orderBy("best.by", "component"))).where("k <= 2")
+    met = _paired(left, two.select("token", "component", "best.*"), f"x.component <> y.component AND {_bounds(how.percent)}")
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
@@ -251,19 +259,19 @@ def join(docs: DataFrame, how: Jaccard = Jaccard(), every_link: bool = False) ->
     members = sig.select("doc_id", "n", "h1", "h2").join(nodes, ["h1", "h2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")).otherwise(F.col("doc_id")).alias("node"))
 
     single = named.join(nodes, ["h1", "h2"]).where("doc_id = node").select("node", "n", *_PARITY, "tokens")
-    met = stored(_shared(single))
+    met = _shared(single)
     pick = F.struct(F.xxhash64("node", F.pmod("token", F.lit(how.picks))).alias("by"), *(F.col(c) for c in ("node", "n", "before", "after", *_PARITY)))
     best = met.groupBy("token").agg(F.min(pick).alias("best")).select("token", "best.*")
-    near = met.alias("x").join(best.alias("y"), F.expr(f"x.token = y.token AND x.node <> y.node AND {_bounds(how.percent)}"))
+    near = _paired(met, best, f"x.node <> y.node AND {_bounds(how.percent)}")
     tried = stored(near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
-    links = stored(verified(docs, tried, how))
+    links = verified(docs, tried, how)
 
     if not every_link:
         for again in range(how.rounds):
             left = _apart(met, components(links), how)
             if not _crowded(left):
                 break
-            more = stored(verified(docs, stored(_partners(left, how, again).join(tried, ["a", "b"], "left_anti")), how))
+            more = verified(docs, stored(_partners(left, how, again).join(tried, ["a", "b"], "left_anti")), how)
             if more.isEmpty():
                 break
             links = stored(links.unionByName(more))

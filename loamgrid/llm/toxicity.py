@@ -29,16 +29,18 @@ _STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@":
 _WIDE = {chr(0xFF41 + i): chr(97 + i) for i in range(26)}
 _FOLD = str.maketrans(_LOOK_ALIKES | _STANDS_FOR | _WIDE)
 _GAP = re.compile(r"[\W_]+")
-#: Words that count without any labelled rows, and phrases in which they are harmless.
+#: Words that count without any labelled rows, and phrases in which they are harmless; more of both are learned.
 SEED = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "imbecile", "dumbass")
-EXCEPTIONS = ("trash can", "trash bin", "class clown", "clown fish", "sore loser rule", "pond scum", "soap scum")
+EXCEPTIONS = ("pond scum", "soap scum", "sore loser rule")
 
 
 @dataclass(frozen=True)
 class Lexicon:
     """The bounded labelled sample that is fitted (``toxic`` and ``clean`` rows, chosen by a hash of doc_id) and what
     an entry must bring: ``least`` toxic texts, a share of ``precision`` of toxic ones among its texts, and a
-    log-likelihood gain of ``gain``; at most ``entries`` are kept. Of beginnings that tell equally much the longest wins."""
+    log-likelihood gain of ``gain``; at most ``entries`` are kept. Of beginnings that tell equally much the longest wins.
+    A phrase of a hit's word and the word beside it becomes an exception if ``least`` clean texts have it and a text
+    with it is less likely toxic than any text."""
 
     toxic: int = 4_000
     clean: int = 12_000
@@ -136,6 +138,26 @@ def _outside(hits: list[tuple], spared: list[tuple]) -> list[tuple]:
     return out
 
 
+def spare(rows: DataFrame, weights: dict[str, float], how: Lexicon) -> list[str]:
+    """Exception phrases from ``rows`` (text, toxic): two words, one of them hit, that speak against toxicity; equal texts count once."""
+    rows = rows.groupBy(F.xxhash64("text").alias("key")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
+    sent = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = Matcher(Model(sent.value, []))
+        for batch in batches:
+            out: dict[str, list[int]] = {}
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                for phrase in match.phrases(text):
+                    out.setdefault(phrase, [0, 0])[toxic] += 1
+            yield pa.RecordBatch.from_pydict({"phrase": pa.array(out, pa.string()), "clean": pa.array([x[0] for x in out.values()], pa.int64()), "toxic": pa.array([x[1] for x in out.values()], pa.int64())})
+
+    share = rows.agg(F.avg("toxic").alias("share")).first()["share"] or 0.0
+    counted = rows.mapInArrow(count, "phrase string, clean long, toxic long").groupBy("phrase").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    kind = counted.where((F.col("clean") >= how.least) & ((F.col("toxic") + 0.5) / (F.col("toxic") + F.col("clean") + 1) < share))
+    return [r["phrase"] for r in kind.orderBy(F.desc("clean"), "phrase").limit(how.entries).toLocalIterator()]
+
+
 class Matcher:
     def __init__(self, model: Model):
         import ahocorasick
@@ -147,6 +169,19 @@ class Matcher:
             self.machine.add_word(f" {e} ", (len(e) + 2, None))
         self.machine.make_automaton()
 
+    def phrases(self, text: str | None) -> set[str]:
+        """Each hit's word with the word before it and with the one after it."""
+        folded = fold(text)
+        out = set()
+        for begin in {end - n + 1 for end, (n, w) in self.machine.iter(folded) if w is not None}:
+            stop = folded.find(" ", begin + 1)
+            before, after = folded.rfind(" ", 0, begin), folded.find(" ", stop + 1)
+            if before >= 0:
+                out.add(folded[before + 1 : stop])
+            if after >= 0:
+                out.add(folded[begin + 1 : after])
+        return out
+
     def features(self, text: str | None) -> tuple[float, float, int]:
         """(log of 1 + weights, the same for weights by 100 words, hits) of a whole text."""
         folded = fold(text)
@@ -185,7 +220,8 @@ def sample(docs: DataFrame, labels: DataFrame, how: Lexicon) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, how: Lexicon = Lexicon()) -> Model:
     """Model from the labelled rows of ``docs`` (doc_id, text) in ``labels`` (doc_id, toxic); the fixed list alone without any."""
     rows = sample(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), how)
-    model = Model(mine(rows, how), list(how.exceptions))
+    weights = mine(rows, how)
+    model = Model(weights, sorted({*how.exceptions, *spare(rows, weights, how)}))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

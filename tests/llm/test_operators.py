@@ -344,7 +344,7 @@ def test_search_against_brute_force(spark):
     rows += [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [1.0] * 15 + [None]), (1004, [1.0] * 7), (1005, [float("inf")] * 16), (None, [1.0] * 16)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = defaultdict(list)
-    how = ann.OneBit(rows=64, queries=7)
+    how = ann.OneBit(rows=64, cells=4, query_bytes=1024)
     for r in ann.search(d, d.where("vec_id % 20 = 0"), how).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     right = total = 0
@@ -373,6 +373,35 @@ def test_search_among_repeated_ids(spark):
     assert [r["vec_id"] for r in got] == [i for _, i in want] and [r["score"] for r in got] == pytest.approx([s for s, _ in want])
 
 
+def test_search_on_the_given_vectors(spark):
+    """Recall against brute force, and how few vectors are compared exactly."""
+    d = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = d.select("vec_id", "embedding").toPandas()
+    ids, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy()).astype(float)
+    asked = d.where("vec_id % 20 = 0")
+    got = defaultdict(set)
+    for r in ann.search(d, asked).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    right = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        far = np.where(np.arange(len(ids)) == q, np.inf, np.sqrt(((x - x[q]) ** 2).sum(axis=1)))
+        right += len(got[ids[q]] & set(ids[np.lexsort((ids, far))[:10]]))
+        total += 10
+    assert right / total >= 0.98
+    assert ann.compared(d, asked).agg(F.sum("compared")).first()[0] < 0.2 * len(ids) * len(got)
+
+
+def test_bounds_hold(spark):
+    rng = np.random.default_rng(5)
+    x, q = rng.standard_normal((300, 24)), rng.standard_normal((20, 24))
+    how = ann.OneBit()
+    turn = ann.rotation(24, ann.code_bits(24, how), how.seed)
+    assert np.allclose(np.linalg.norm(x @ turn, axis=1), np.linalg.norm(x, axis=1))
+    low = ann.lower_bounds(*ann.encode(x, turn), q @ turn, how)
+    true = ((x[None] - q[:, None]) ** 2).sum(axis=2)
+    assert (low <= true).mean() > 0.99 and np.corrcoef(low.ravel(), true.ravel())[0, 1] > 0.8
+
+
 # op8
 
 
@@ -394,10 +423,44 @@ def test_toxicity(spark, awkward, nothing):
     ask = frame(spark, [filler() + " IDI0T groks", filler(), "", None, "the pond scum here", "an іdiоt, grokzul and grokaul"])
     got = {r["doc_id"]: (r["score"], r["hits"]) for r in toxicity.score(ask, model).collect()}
     assert got[0][0] >= 0.3 > got[1][0] and got[2][1] == got[3][1] == got[4][1] == 0 and got[5][0] >= 0.3 and got[5][1] >= 3
+    # A harmless neighbour, learned from clean texts.
+    kind = [f"{filler()} merry grokaul {filler()}" for _ in range(9)]
+    more = docs.unionByName(spark.createDataFrame([(1000 + i, t, "en", "s", 0) for i, t in enumerate(kind)], DOCS))
+    learned = toxicity.fit(more, labels.unionByName(spark.createDataFrame([(1000 + i, 0) for i in range(len(kind))], "doc_id long, toxic int")))
+    assert "merry grokaul" in learned.exceptions
+    hits = {r["doc_id"]: r["hits"] for r in toxicity.score(frame(spark, ["a merry grokaul", "a vile grokaul"]), learned).collect()}
+    assert hits == {0: 0, 1: 1}
     assert toxicity.score(awkward, model).count() == awkward.count() and toxicity.score(nothing, model).count() == 0
     assert 0 <= toxicity.score(docs, toxicity.fit(nothing, labels.where("false"))).first()["score"] <= 1
 
 
+def test_spared_hits_against_every_pair():
+    rng = random.Random(11)
+    for _ in range(200):
+        spans = [(s, s + rng.randrange(1, 9), 1.0) for s in (rng.randrange(40) for _ in range(rng.randrange(30)))]
+        hits, spared = spans[::2], spans[1::2]
+        want = sorted(h for h in hits if not any(s <= h[0] and h[1] <= e for s, e, _ in spared))
+        assert sorted(toxicity._outside(hits, spared)) == want
+
+
+def test_toxicity_against_plain_search(spark):
+    """Hits and score of the query, from its model, by looking for every entry at every place."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    fold = remainder(F.col("doc_id"), 4)
+    model = toxicity.fit(docs.where(fold != 2), labels.where(fold != 2))
+    got = {r["doc_id"]: r for r in queries.op8_weighted_lexicon_toxicity(spark, SF).collect()}
+    c, a, b = model.curve
+    for r in docs.collect():
+        text = toxicity.fold(r["text"])
+        places = lambda e: [i for i in range(len(text)) if text.startswith(e, i)]  # noqa: B023, E731
+        spared = [(i, i + len(e) + 1) for e in model.exceptions for i in places(f" {e} ")]
+        weights = [w for e, w in model.weights.items() if e in text for i in places(e) if not any(s <= i and i + len(e) - 1 <= t for s, t in spared)]
+        x, y = math.log1p(sum(weights)), math.log1p(100 * sum(weights) / max(1, text.count(" ") - 1))
+        z = c + a * (x - model.mean[0]) / model.scale[0] + b * (y - model.mean[1]) / model.scale[1]
+        want = 1 / (1 + math.exp(-max(-30, min(30, z))))
+        assert got[r["doc_id"]]["hits"] == len(weights) and got[r["doc_id"]]["score"] == pytest.approx(want, abs=1e-9)
+
+
 # op9
 
 

@@ -2,13 +2,16 @@
 
 Entities are found by pattern. Digits are replaced by a keyed permutation of all
 numbers of that length, so two numbers never share a surrogate and the layout
-stays. Addresses and names get keyed values; names keep gender, script and case.
-Values that are drawn from lists can clash, so the distinct names and addresses
-of the whole table are checked and those that clash are drawn again. One entity
-gets one surrogate wherever and however it is found.
-
-A name is found only right after one of a fixed list of titles. Its mentions
-without a title stay in clear text, even in the same document.
+stays; card numbers and IBANs that check out still do, and those that do not
+still do not. Mail addresses keep their lengths, signs and number of labels, and
+a shared domain stays shared. Names keep gender, script, case and number of
+words. What is drawn can clash, so the distinct names and addresses of the whole
+table are checked and those that clash are drawn again.
+
+One entity gets one surrogate wherever and however it is written: a name's
+gender is what its titles tell in the whole table, and in a text where a name
+stands after a title, its mentions without one, by both words or by either, are
+replaced too. A name that no title introduces in the same text is not found.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.llm.common import stored
+from loamgrid.llm.common import aside, met_by, stored
 
 #: Forms of address by gender, in the order of the name lists below.
 _TITLES = {"m": "Mr|Herr|Monsieur|Señor|Sir|Г-н", "f": "Mrs|Ms|Miss|Frau|Madame|Señora|Lady|Г-жа", "n": "Dr|Prof|Mx"}
@@ -31,14 +34,16 @@ _GIVEN = {
     ("cyrillic", "f"): "Анна Ольга Мария Елена Ирина Нина Вера Дарья".split(),
     ("cyrillic", "n"): "Саша Женя Валя Шура Слава Никита Мика Ника".split(),
 }
-_FAMILY = {
-    "latin": "Marlow Hartley Brenner Vidal Okafor Lindqvist Moreau Castell Novak Fischer Romero Duval Keller Santos Weber Laurent Archer Bishop Conrad Draper Ellison Foster Grayson Holloway".split(),
-    "cyrillic": "Белов Орлов Титов Громов Котов Жуков Панов Седов".split(),
+#: Syllables of family names by script, each a beginning and an end; three make a name, of some 16 million.
+_SYLLABLES = {
+    "latin": ("b c d f g h k l m n p r s t v w".split(), "a al an ar e el en er i in o ol on or u ur".split()),
+    "cyrillic": ("б в г д ж з к л м н п р с т ф х".split(), "а ал ан ар е ел ен ер и ин о ол он ор у ур".split()),
 }
-_NAME = r"\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?"
+_WORD = r"\p{Lu}[\p{L}'-]+(?<!'s)(?<!['-])"
+_NAME = rf"{_WORD}(?: {_WORD})?"
 #: What counts as an entity; the first that matches at a place wins.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9-]{1,63}){0,4}\.[A-Za-z]{2,24}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,24}(?![A-Za-z])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[.-])[0-9]{3,4}[ .-]?[0-9]{4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -117,37 +122,94 @@ def gender(entity: Column) -> Column:
     return out
 
 
-def drawn(k: Column, canon: Column, entity: Column, attempt: Column, how: Surrogates) -> Column:
-    """Surrogate of an address or a name at a given draw; from the fourth draw on a keyed suffix makes it certain."""
+def _bare(entity: Column) -> Column:
+    """A name without its title."""
+    return F.regexp_replace(entity, rf"^(?:{'|'.join(_TITLES.values())})\.? ", "")
+
+
+def _scrambled(text: Column, h: Column) -> Column:
+    """``text`` in lower case with each letter and digit drawn anew, by the hash ``h`` and its place; other signs stay."""
+    at = lambda i, n: F.pmod(F.xxhash64(h, i), F.lit(n)).cast("int")
+    put = lambda c, i: F.when(c.rlike("[a-z]"), F.char(at(i, 26) + 97)).when(c.rlike("[0-9]"), F.char(at(i, 10) + 48)).otherwise(c)
+    return F.array_join(F.transform(F.split(F.lower(text), ""), put), "")
+
+
+def drawn(k: Column, canon: Column, told: Column, attempt: Column, how: Surrogates) -> Column:
+    """Surrogate of an address, or of a name without title, at a given draw; after the last a keyed suffix makes it certain."""
     h = _hex(how, k, canon, attempt.cast("string"))
     settled = attempt > how.redraws
-    email = F.concat(F.lit("user."), F.substring(h, 1, 16), F.when(settled, F.substring(h, 17, 32)).otherwise(F.lit("")), F.lit("@example.org"))
-    told = gender(entity)
+    host = F.regexp_extract(canon, "@(.*)", 1)
+    local = F.concat(_scrambled(F.regexp_extract(canon, "^([^@]*)@", 1), h), F.when(settled, F.concat(F.lit("-"), F.substring(h, 22, 16))).otherwise(F.lit("")))
+    email = F.concat(local, F.lit("@"), _scrambled(F.regexp_replace(host, r"\.[^.]*$", ""), _hex(how, F.lit("host"), host)), F.lit(".example"))
     words = F.size(F.split(canon, " "))
-    title = F.regexp_extract(entity, rf"^((?:{'|'.join(_TITLES.values())})\.? )", 1)
     name = F.lit(None).cast("string")
     for (script, g), given in _GIVEN.items():
         fits = (told == g) & (canon.rlike(r"\p{IsCyrillic}") == F.lit(script == "cyrillic"))
-        family = F.concat(_pick(_FAMILY[script], h, 8), F.lit("-"), _pick(_FAMILY[script], h, 15))
-        full = F.when(words > 1, F.concat(_pick(given, h, 1), F.lit(" "), family)).otherwise(family)
-        name = F.when(fits, full).otherwise(name)
-    name = F.concat(name, F.when(settled, F.concat(F.lit("-"), F.translate(F.substring(h, 22, 16), "0123456789", "ghijklmnop"))).otherwise(F.lit("")))
-    return F.when(k == "email", email).otherwise(F.concat(title, name))
+        begin, end = _SYLLABLES[script]
+        family = F.initcap(F.concat(*[_pick(part, h, 8 + 14 * i + 7 * j) for i in range(3) for j, part in enumerate((begin, end))]))
+        name = F.when(fits, F.when(words > 1, F.concat(_pick(given, h, 1), F.lit(" "), family)).otherwise(family)).otherwise(name)
+    name = F.concat(name, F.when(settled, F.translate(F.substring(h, 49, 16), "0123456789", "ghijklmnop")).otherwise(F.lit("")))
+    return F.when(k == "email", email).otherwise(name)
+
+
+def _luhn(payload: Column) -> Column:
+    """The check digit that belongs to the digits before it."""
+    start = F.struct(F.lit(0).alias("sum"), F.lit(2).alias("by"))
+
+    def step(at: Column, c: Column) -> Column:
+        x = c.cast("int") * at["by"]
+        return F.struct((at["sum"] + F.when(x > 9, x - 9).otherwise(x)).alias("sum"), (3 - at["by"]).alias("by"))
+
+    return F.pmod(-F.aggregate(F.split(F.reverse(payload), ""), start, step)["sum"], F.lit(10))
 
 
-def surrogate(entity: Column, attempt: Column, how: Surrogates) -> Column:
-    """The replacement of one entity as it is written."""
+def _card(digits: Column, how: Surrogates) -> Column:
+    """All digits but the last permuted; the last is as far from the one that would check out as it was."""
+    n = F.length(digits)
+    old = F.substring(digits, F.lit(1), n - 1)
+    new = _permuted(old, how, "number")
+    last = F.pmod(_luhn(new) + F.substring(digits, n, F.lit(1)).cast("int") - _luhn(old), F.lit(10))
+    return F.concat(new, last.cast("string"))
+
+
+def _iban_check(country: Column, account: Column) -> Column:
+    """The two check digits that belong to an account, as a number."""
+    step = lambda at, c: F.when(c.rlike("[0-9]"), at * 10 + F.ascii(c) - 48).otherwise(at * 100 + F.ascii(c) - 55) % 97
+    return 98 - F.aggregate(F.split(F.concat(account, country, F.lit("00")), ""), F.lit(0), step)
+
+
+def _iban(entity: Column, how: Surrogates) -> Column:
+    """Country kept, digits of the account permuted, its letters shifted by a keyed step for each place, check digits made anew."""
+    country, old = F.substring(entity, 1, 2), F.substring(entity, F.lit(5), F.length(entity))
+    shift = lambda c, i: F.when(c.rlike("[A-Z]"), F.char(F.pmod(F.ascii(c) - 65 + F.pmod(F.xxhash64(F.lit(how.key), i), F.lit(26)), F.lit(26)).cast("int") + 65)).otherwise(c)
+    digits = F.regexp_replace(old, "[^0-9]", "")
+    new = _laid_out(F.array_join(F.transform(F.split(old, ""), shift), ""), _permuted(digits, how, "iban"))
+    check = F.pmod(_iban_check(country, new) + F.substring(entity, 3, 2).cast("int") - _iban_check(country, old), F.lit(100))
+    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), new)
+
+
+def surrogate(entity: Column, puts: Column, how: Surrogates) -> Column:
+    """The replacement of one entity as it is written; ``puts`` has those of names, and of addresses that were drawn again."""
     k, canon = kind(entity), canonical(entity)
     digits = F.regexp_replace(entity, "[^0-9]", "")
+    put, bare = F.element_at(puts, canon), _bare(entity)
+    name = F.concat(F.substring(entity, F.lit(1), F.length(entity) - F.length(bare)), _cased(bare, put))
     return (
-        F.when(k.isin(*_DRAWN), drawn(k, canon, entity, attempt, how))
+        F.when(k == "name", name)
+        .when(k == "email", F.coalesce(put, drawn(k, canon, F.lit("n"), F.lit(0), how)))
         .when(k == "ip", _address(entity, how))
         .when(k == "phone", F.when(entity.startswith("+"), _laid_out(entity, _permuted(F.substring(digits, F.lit(2), F.length(digits)), how, "phone"), 1)).otherwise(_laid_out(entity, _permuted(digits, how, "phone"))))
-        .when(k == "iban", _laid_out(entity, _permuted(digits, how, "iban")))
+        .when(k == "iban", _iban(entity, how))
+        .when(k == "card", _laid_out(entity, _card(digits, how)))
         .otherwise(_laid_out(entity, _permuted(digits, how, "number")))
     )
 
 
+def _cased(written: Column, put: Column) -> Column:
+    """``put`` in capitals where the name is written so."""
+    return F.when((written == F.upper(written)) & (F.length(written) > 1), F.upper(put)).otherwise(put)
+
+
 def _address(entity: Column, how: Surrogates) -> Column:
     """A keyed permutation of the IPv4 addresses: six Feistel rounds over the two 16-bit halves."""
     part = lambda i: F.element_at(F.split(entity, "\\."), i).cast("int")
@@ -161,36 +223,58 @@ def _address(entity: Column, how: Surrogates) -> Column:
     return F.concat_ws(".", F.shiftright(out["a"], 8), out["a"] % 256, F.shiftright(out["b"], 8), out["b"] % 256)
 
 
-def _redrawn(docs: DataFrame, how: Surrogates) -> DataFrame:
-    """(canon, attempt) of the names and addresses whose first draw clashes, over the whole table.
+def _settled(docs: DataFrame, how: Surrogates) -> DataFrame | None:
+    """(canon, put, first) of all names, and of addresses whose first draw clashes, over the whole table; None if there are none.
 
-    A name is drawn for each gender that its titles tell. All its surrogates are
-    compared in canonical form, so without title, with those of all others; if
-    one clashes, the name is drawn again for all its genders.
+    A name's gender is the one that its titles tell, and neither if they tell
+    both. Surrogates are compared in canonical form, names without title.
     """
     found = docs.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?:{PATTERNS['email']})|(?:{PATTERNS['name']})"), F.lit(0))).alias("entity"))
-    each = found.select(kind(F.col("entity")).alias("kind"), canonical(F.col("entity")).alias("canon"), gender(F.col("entity")).alias("gender"), "entity").groupBy("kind", "canon", "gender").agg(F.min("entity").alias("entity"))
-    each = stored(each)
-    settled, again = None, each
-    out = None
-    for attempt in range(how.redraws + 1):
-        now = stored(again.withColumn("value", canonical(drawn(F.col("kind"), F.col("canon"), F.col("entity"), F.lit(attempt), how))))
-        first = now.groupBy("value").agg(F.min("canon").alias("canon"))
-        if settled is not None:
-            first = first.join(settled, "value", "left_anti")
-        # A value that is somebody's own is no surrogate.
-        first = first.join(each.select(F.col("canon").alias("value")), "value", "left_anti")
-        lost = stored(now.join(first, ["value", "canon"], "left_anti").select("canon").distinct())
-        kept = stored(now.join(lost, "canon", "left_anti").select("value", "canon"))
-        if attempt:
-            new = kept.select("canon", F.lit(attempt).alias("attempt")).distinct()
-            out = new if out is None else out.unionByName(new)
-        settled = kept.select("value") if settled is None else settled.unionByName(kept.select("value"))
-        if lost.isEmpty():
-            return out
-        again = each.join(lost, "canon", "left_semi")
-    last = lost.select("canon", F.lit(how.redraws + 1).alias("attempt"))
-    return last if out is None else out.unionByName(last)
+    told = gender(F.col("entity"))
+    each = found.groupBy(kind(F.col("entity")).alias("kind"), canonical(F.col("entity")).alias("canon")).agg(F.max(told == "m").alias("m"), F.max(told == "f").alias("f"))
+    each = stored(each.select("kind", "canon", F.when(F.col("m") & ~F.col("f"), "m").when(F.col("f") & ~F.col("m"), "f").otherwise("n").alias("told")))
+    again, out = each, None
+    for attempt in range(how.redraws + 2):
+        now = again.withColumn("put", drawn(F.col("kind"), F.col("canon"), F.col("told"), F.lit(attempt), how)).withColumn("value", F.lower("put"))
+        now = stored(now.withColumn("attempt", F.lit(attempt)))
+        if now.isEmpty():
+            break
+        if attempt > how.redraws:
+            kept, again = now, each.where("false")
+        else:
+            first = now.groupBy("value").agg(F.min("canon").alias("canon"))
+            if out is not None:
+                first = first.join(out.select("value"), "value", "left_anti")
+            # A value that is somebody's own is no surrogate.
+            first = first.join(each.select(F.col("canon").alias("value")), "value", "left_anti")
+            kept = stored(now.join(first, ["value", "canon"], "left_semi"))
+            again = stored(now.join(first, ["value", "canon"], "left_anti").select("kind", "canon", "told"))
+        out = kept if out is None else out.unionByName(kept)
+    if out is None:
+        return None
+    needed = out.where("kind = 'name' OR attempt > 0").select("canon", "put", (F.col("kind") == "name").alias("is_name"))
+    needed = stored(needed)
+    return None if needed.isEmpty() else needed
+
+
+def _mentions(found: Column, puts: Column, how: Surrogates) -> Column:
+    """(pattern, mark, put) for each way in which the names of a text are mentioned without title, the longest first."""
+
+    def ways(e: Column) -> Column:
+        bare, put = _bare(e), F.element_at(puts, canonical(e))
+        whole = F.struct((-F.length(bare)).alias("order"), bare.alias("said"), _cased(bare, put).alias("put"))
+        part = lambda i: F.struct((-F.length(F.element_at(F.split(bare, " "), i))).alias("order"), F.element_at(F.split(bare, " "), i).alias("said"), _cased(bare, F.element_at(F.split(put, " "), i)).alias("put"))
+        return F.when(F.contains(bare, F.lit(" ")), F.array(whole, part(1), part(-1))).otherwise(F.array(whole))
+
+    every = F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(found, lambda e: kind(e) == "name"), ways))))
+    mark = lambda i: F.concat(F.lit("\ue000"), F.substring(_hex(how, F.lit("mark")), 1, 8), i.cast("string"), F.lit("\ue001"))
+    return F.transform(every, lambda x, i: F.struct(F.concat(F.lit(r"(?<![\p{L}'-])"), x["said"], F.lit(r"(?![\p{L}-])")).alias("pattern"), mark(i).alias("mark"), x["put"].alias("put")))
+
+
+def _unnamed(text: Column, ways: Column) -> Column:
+    """``text`` with all mentions replaced: by marks first, so that no surrogate is taken for a mention."""
+    marked = F.aggregate(ways, text, lambda t, x: F.regexp_replace(t, x["pattern"], x["mark"]))
+    return F.aggregate(ways, marked, lambda t, x: F.replace(t, x["mark"], x["put"]))
 
 
 def replace(docs: DataFrame, how: Surrogates = Surrogates()) -> DataFrame:
@@ -198,24 +282,33 @@ def replace(docs: DataFrame, how: Surrogates = Surrogates()) -> DataFrame:
 
     Null texts stay null and have no entities. Repeated rows are replaced alike.
     Texts of any length are read to their end. The rest of a text is untouched.
-    Existing columns named like the two new ones are replaced.
+    Mentions of a name without its title are replaced but not counted. Existing
+    columns named like the two new ones are replaced.
     """
+    docs = docs.drop("n_entities", "kinds")
+    rows, back = aside(docs, "text")
     clean = F.coalesce(F.col("text"), F.lit(""))
-    again = _redrawn(docs, how)
-    out = docs.withColumn("__found", F.regexp_extract_all(clean, F.lit(ENTITY), F.lit(0)))
-    if again is None:
-        out = out.withColumn("__draws", F.lit(None).cast("map<string,int>"))
-    else:
-        # Only documents with a redrawn value need the join; they meet their few values by a hash of the text.
-        key = F.xxhash64("text")
-        rows = out.where(F.size("__found") > 0).select(key.alias("__key"), F.explode(F.array_distinct(F.transform("__found", canonical))).alias("canon"))
-        draws = rows.distinct().join(again, "canon").groupBy("__key").agg(F.map_from_entries(F.collect_set(F.struct("canon", "attempt"))).alias("__draws"))
-        out = out.withColumn("__key", key).join(draws, "__key", "left").drop("__key")
-    out = out.withColumn("__between", F.when(F.size("__found") > 0, F.split(clean, ENTITY, -1)))
-    pairs = F.arrays_zip(F.slice("__between", F.lit(1), F.size("__found")).alias("b"), F.col("__found").alias("t"))
-    draw = lambda e: F.coalesce(F.element_at("__draws", canonical(e)), F.lit(0))
-    parts = F.transform(pairs, lambda x: F.concat(x["b"], surrogate(x["t"], draw(x["t"]), how)))
-    text = F.when(F.size("__found") > 0, F.concat(F.array_join(parts, ""), F.element_at("__between", -1))).otherwise(F.col("text"))
-    kinds = F.transform("__found", kind)
-    out = out.withColumn("n_entities", F.size("__found").cast("long")).withColumn("kinds", kinds).withColumn("text", text)
-    return out.select(*[c for c in docs.columns if c not in ("n_entities", "kinds")], "n_entities", F.array_sort("kinds").alias("kinds"))
+    settled = _settled(docs, how)
+    out = rows.withColumn("found", F.regexp_extract_all(clean, F.lit(ENTITY), F.lit(0)))
+
+    def finish(out: DataFrame, named: bool) -> DataFrame:
+        puts = F.col("puts")
+        out = out.withColumn("ways", _mentions(F.col("found"), puts, how) if named else F.lit(None))
+        seg = (lambda t: _unnamed(t, F.col("ways"))) if named else lambda t: t
+        out = out.withColumn("between", F.when(F.size("found") > 0, F.split(clean, ENTITY, -1)))
+        pairs = F.arrays_zip(F.slice("between", F.lit(1), F.size("found")).alias("b"), F.col("found").alias("t"))
+        parts = F.transform(pairs, lambda x: F.concat(seg(x["b"]), surrogate(x["t"], puts, how)))
+        text = F.when(F.size("found") > 0, F.concat(F.array_join(parts, ""), seg(F.element_at("between", -1)))).otherwise(F.col("text"))
+        kinds = F.array_sort(F.transform("found", kind))
+        return back(out.withColumn("n_entities", F.size("found").cast("long")).withColumn("kinds", kinds).withColumn("text", text), "n_entities", "kinds")
+
+    if settled is None:
+        return finish(out.withColumn("puts", F.lit(None).cast("map<string,string>")), False)
+    # Only texts with a name, or with an address if any was drawn again, need the join; they meet their few values by a hash of the text.
+    wanted = ("name",) if settled.where("NOT is_name").isEmpty() else _DRAWN
+    needs = F.exists("found", lambda e: kind(e).isin(*wanted))
+    some = out.where(needs).withColumn("key", F.xxhash64("text"))
+    asked = some.select("key", F.explode(F.array_distinct(F.transform("found", canonical))).alias("canon")).distinct()
+    puts = asked.join(settled, "canon").groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct("canon", "put"))).alias("puts"))
+    plain = finish(out.where(~needs).withColumn("puts", F.lit(None).cast("map<string,string>")), False)
+    return plain.unionByName(finish(met_by(some, puts, "key", "left"), True))

@@ -300,6 +300,60 @@ def test_surrogates_stay_distinct_under_all_titles(spark):
     assert len(got) == 750 and all(len(ids) == 1 for ids in holders.values())
 
 
+def luhn(digits):
+    total = sum(sum(divmod(int(c) * 2, 10)) if i % 2 else int(c) for i, c in enumerate(reversed(digits)))
+    return total % 10 == 0
+
+
+def iban(text):
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
+
+
+def test_surrogates_of_planted_entities(spark):
+    """One surrogate for each entity over titles and mentions, distinct ones for distinct entities, formats and check digits kept."""
+    texts = [
+        "Mr Robin Lee wrote. Dr Robin Lee's friend saw ROBIN LEE and Robin; Lee left. Prof ROBIN LEE too.",
+        "Dr Robin Lee met Mrs Ann Lee, robin.lee+x1@mail.corp.org, ann@corp.org. Bo@corp.org!",
+        "4111 1111 1111 1111 and 4111111111111112, DE89370400440532013000, GB29NWBK60161331926819, GB28NWBK60161331926819",
+        "Robin Lee alone",
+    ]
+    got = [r["text"] for r in surrogates.replace(frame(spark, texts), surrogates.Surrogates("k3")).orderBy("doc_id").collect()]
+    given, family = re.match(r"Mr (\w+) (\w+) wrote", got[0]).groups()
+    full = f"{given} {family}"
+    assert got[0] == f"Mr {full} wrote. Dr {full}'s friend saw {full.upper()} and {given}; {family} left. Prof {full.upper()} too."
+    assert given in surrogates._GIVEN[("latin", "m")] and full not in ("Robin Lee", "Ann Lee")
+    assert got[1].startswith(f"Dr {full} met Mrs ") and re.search(r"met Mrs (\w+) (\w+),", got[1]).groups() != (given, family)
+    one, two, three = re.findall(r"[\w.+]+@[\w.]+\w", got[1])
+    assert re.fullmatch(r"[a-z]{5}\.[a-z]{3}\+[a-z]\d@[a-z]{4}\.[a-z]{4}\.example", one) and re.fullmatch(r"[a-z]{3}@[a-z]{4}\.example", two)
+    assert two.split("@")[1] == three.split("@")[1] and len(three.split("@")[0]) == 2
+    good, bad, de, gb, wrong = re.fullmatch(r"([\d ]{19}) and (\d{16}), (DE\d{20}), (GB\d\d[A-Z]{4}\d{14}), (GB\d\d[A-Z]{4}\d{14})", got[2]).groups()
+    assert luhn(good.replace(" ", "")) and not luhn(bad) and good.replace(" ", "")[:-1] == bad[:-1] and good != texts[2][:19]
+    assert iban(de) and iban(gb) and not iban(wrong) and gb[4:] == wrong[4:] and "NWBK" not in got[2] and iban("GB29NWBK60161331926819")
+    assert got[3] == texts[3]
+
+
+def test_query_leaves_no_entity(spark):
+    """Every entity of the given documents, found again by plain patterns, is gone; other text is untouched."""
+    flat = lambda p: re.compile(p.replace(r"\p{Lu}", "[A-ZÀ-ÞЀ-Я]").replace(r"[\p{L}'-]", "[A-Za-zÀ-ÿЀ-я'-]").replace(r"\p{L}", "[A-Za-zÀ-ÿЀ-я]"))
+    every = re.compile("|".join(f"(?:{flat(p).pattern})" for p in surrogates.PATTERNS.values()))
+    before = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    after = {r["doc_id"]: r for r in queries.op5_pii_surrogates(spark, SF).collect()}
+    assert set(before) == set(after)
+    own, new = defaultdict(set), defaultdict(set)
+    for i, text in before.items():
+        found = [m.group(0) for m in every.finditer(text or "")]
+        assert after[i]["n_entities"] == len(found)
+        if not found:
+            assert after[i]["text"] == text
+        put = [m.group(0) for m in every.finditer(after[i]["text"] or "")]
+        for a, b in zip(found, put, strict=False):
+            if len(found) == len(put) and "@" in a:
+                assert a.lower() != b
+                own[a.lower()].add(b)
+                new[b].add(a.lower())
+    assert all(len(x) == 1 for x in own.values()) and all(len(x) == 1 for x in new.values())
+
+
 # op6
 
 

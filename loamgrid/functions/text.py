@@ -6,6 +6,8 @@ pattern here that must see other scripts sets it.
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,9 +48,35 @@ def normalize(c: Column) -> Column:
     return collapse_ws(nfc(c))
 
 
-def clean_khmer(c: Column) -> Column:
+#: Marks by the place they take after their base: robat, shifters, vowels; a subscript pair comes before, all else after.
+_PLACES = ((2, r"\x{17CC}"), (3, r"\x{17C9}\x{17CA}"), (4, r"\x{17B4}-\x{17C5}"))
+
+
+def reordered(c: Column) -> Column:
+    """Marks after a base in canonical order; a subscript sign and its base are one unit, and equal places keep their order."""
+    unit = rf"{COENG}[{BASE}]?|[{MARKS}]"
+    cluster = rf"[{BASE}](?:{unit}){{1,200}}+"
+    place = lambda u: F.when(u.startswith("\u17d2"), 1).otherwise(_chosen([(u.rlike(f"^[{marks}]"), at) for at, marks in _PLACES], 5))
+    units = lambda x: F.array_sort(F.transform(F.regexp_extract_all(F.substring(x, F.lit(2), F.length(x)), F.lit(unit), F.lit(0)), lambda u, i: F.struct(place(u).alias("place"), i.alias("i"), u.alias("u"))))
+    sorted_cluster = lambda x: F.concat(F.substring(x, 1, 1), F.array_join(F.transform(units(x), lambda u: u["u"]), ""))
+    found = F.regexp_extract_all(c, F.lit(cluster), F.lit(0))
+    between = F.split(c, cluster, -1)
+    pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("b"), found.alias("x"))
+    joined = F.concat(F.array_join(F.transform(pairs, lambda p: F.concat(p["b"], sorted_cluster(p["x"]))), ""), F.element_at(between, -1))
+    return F.when(F.size(found) > 0, joined).otherwise(c)
+
+
+def _chosen(cases: list[tuple[Column, int]], default: int) -> Column:
+    out = F.lit(default)
+    for when, value in reversed(cases):
+        out = F.when(when, value).otherwise(out)
+    return out
+
+
+def clean_khmer(c: Column, reorder: bool = False) -> Column:
     """Composed text without zero-width and soft-hyphen characters, doubled marks or doubled blanks; newlines stay."""
     out = F.regexp_replace(nfc(c), r"[\x{200B}\x{FEFF}\x{00AD}]", "")
+    out = reordered(out) if reorder else out
     out = F.regexp_replace(out, rf"([{MARKS}{COENG}])\1+", "$1")
     return trim_ws(F.regexp_replace(out, r"(?U)[^\S\n]+", " "))
 
@@ -80,12 +108,18 @@ def anomaly_score(c: Column) -> Column:
 
 def cell_rules(c: Column) -> Column:
     """Repairs of whole cells: misread currency units, and percentages with Khmer digits."""
+    # The misread units and the shape of a percentage.
     unit = r"^[អ#វ]/?(គ\.ក|គ្រាប់|ផ្លែ)\z"
     weight = r"^[អ#វ]/?គ[ៈ:]\.?ក\z"
     percent = rf"^[+-]?[0-9{KHMER_DIGITS}]+([.,][0-9{KHMER_DIGITS}]+)?%\z"
     return F.when(c.rlike(unit), F.regexp_replace(c, unit, "៛/$1")).when(c.rlike(weight), F.lit("៛/គ.ក")).when(c.rlike(percent), fold_digits(c)).otherwise(c)
 
 
+def stage_text(c: Column) -> Column:
+    """A cell's or block's text cleaned, without foreign scripts, its units repaired and grid-line noise emptied, in this order."""
+    return strip_noise(cell_rules(strip_foreign(clean_khmer(c))))
+
+
 def strip_noise(c: Column) -> Column:
     """Empty if nothing but rules (a pipe, with dashes, underscores and blanks)."""
     return F.when(c.rlike(r"^[|\-_—– ]*\|[|\-_—– ]*\z"), F.lit("")).otherwise(c)
@@ -93,6 +127,7 @@ def strip_noise(c: Column) -> Column:
 
 def malformed_number(c: Column) -> Column:
     """A comma before four digits, or a percentage of two digits or more without a decimal mark."""
+    # Both shapes.
     return c.rlike(r"(?U)\d,\d{4}") | c.rlike(r"(?U)^[+-]?\d{2,}%\z")
 
 
@@ -205,7 +240,8 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def training_equivalent(a: Column, b: Column) -> Column:
-    strip = lambda c: F.regexp_replace(collapse_ws(c), INVISIBLE, "")
+    """Whether two texts differ in nothing that could be learned: equal once cleaned and without invisible joiners."""
+    strip = lambda c: F.regexp_replace(clean_khmer(c), INVISIBLE, "")
     return strip(a) == strip(b)
 
 
@@ -219,8 +255,8 @@ def content_id(c: Column) -> Column:
 
 
 def matches(c: Column, query: str) -> Column:
-    """Case-folded substring search; a blank query matches nothing."""
-    return F.lit(False) if not query.strip() else F.contains(F.lower(c), F.lit(query.lower()))
+    """Case-folded substring search over composed text; a blank query matches nothing."""
+    return F.lit(False) if not query.strip() else F.contains(F.lower(nfc(c)), F.lit(unicodedata.normalize("NFC", query).lower()))
 
 
 def three_places(c: Column) -> Column:

@@ -77,16 +77,22 @@ def unparseable(cells: DataFrame, by: Keys) -> DataFrame:
     return odd.join(numeric_columns(cells, by), [*by, "col_id"], "left_semi")
 
 
-def total_mismatch(cells: DataFrame, by: Keys, is_total: Column, value: Column, is_percent: Column, tolerance: float = 0.5) -> DataFrame:
+def total_mismatch(cells: DataFrame, by: Keys, is_total: Column, value: Column, is_percent: Column, blank: Column | None = None, tolerance: float = 0.5) -> DataFrame:
     """(by..., row_id, col_id, total, expected): totals that differ from the sum of the rows since the last total.
 
-    Percentages do not count. A value that is no number makes its stretch undecidable.
+    Every total row begins a new stretch, whatever stands in it. In a stretch
+    blank cells are passed over, percentages do not count towards the sum, and a
+    text that is no number (``value`` null) makes the stretch undecidable.
     """
-    c = cells.select(*by, "row_id", "col_id", is_total.alias("__t"), value.alias("__v"), is_percent.alias("__p")).where(~F.coalesce("__p", F.lit(False)))
+    c = cells.select(*by, "row_id", "col_id", is_total.alias("__t"), value.alias("__v"), F.coalesce(is_percent, F.lit(False)).alias("__p"), (F.lit(False) if blank is None else F.coalesce(blank, F.lit(False))).alias("__b"))
     before = Window.partitionBy(*by, "col_id").orderBy("row_id").rowsBetween(Window.unboundedPreceding, -1)
     c = c.withColumn("__part", F.coalesce(F.sum(F.col("__t").cast("int")).over(before), F.lit(0)))
-    part = c.groupBy(*by, "col_id", "__part").agg(F.sum(F.when(~F.col("__t"), F.col("__v"))).alias("expected"), F.bool_and(F.col("__v").isNotNull()).alias("sound"), F.max(F.when(F.col("__t"), F.col("__v"))).alias("total"), F.max(F.when(F.col("__t"), F.col("row_id"))).alias("row_id"))
-    return part.where(F.col("sound") & F.col("total").isNotNull() & F.col("expected").isNotNull() & (F.abs(F.col("total") - F.col("expected")) > tolerance)).select(*by, "row_id", "col_id", "total", "expected")
+    body = ~F.col("__t") & ~F.col("__b")
+    part = c.groupBy(*by, "col_id", "__part").agg(
+        F.coalesce(F.sum(F.when(body & ~F.col("__p"), F.col("__v"))), F.lit(0.0)).alias("expected"), F.count_if(body).alias("filled"), F.count_if(body & F.col("__v").isNull()).alias("odd"),
+        F.max(F.when(F.col("__t"), F.col("__v"))).alias("total"), F.max(F.when(F.col("__t"), F.col("row_id"))).alias("row_id"),
+    )
+    return part.where((F.col("filled") > 0) & (F.col("odd") == 0) & (F.abs(F.col("total") - F.col("expected")) > tolerance)).select(*by, "row_id", "col_id", "total", "expected")
 
 
 def without_title(cells: DataFrame, by: Keys) -> DataFrame:
@@ -133,13 +139,29 @@ def section_of(rows: DataFrame, by: Keys, order: str, marker: Column, default: s
     return rows.withColumn("section", F.coalesce(F.last(marker, ignorenulls=True).over(w), F.lit(default)))
 
 
-def quality_flags(cells: DataFrame, by: Keys) -> DataFrame:
-    """(by..., row_id, col_id, text, flag): all findings of all checks, one row for each cell and flag."""
-    place = [*by, "row_id", "col_id", "text"]
-    own = cells.select(*place, F.explode(tx.cell_flags(F.col("text"), F.col("confidence"))).alias("flag"))
-    odd = unparseable(cells, by).select(*place, F.lit("unparseable_number").alias("flag"))
-    uneven = ragged(cells, by).select(*place, F.lit("ragged_row").alias("flag"))
-    return own.unionByName(odd).unionByName(uneven)
+def quality_flags(cells: DataFrame, by: Keys, share: float = 0.70, least_rows: int = 3) -> DataFrame:
+    """(by..., row_id, col_id, text, flag): all findings of all checks, one row for each cell and flag.
+
+    The cells are read once: what numeric columns and usual row lengths are is
+    told by windows over them and a small join on the table, not by further scans.
+    """
+    place = [*by, "row_id", "col_id"]
+    filled = (F.col("row_id") > 0) & (F.trim("text") != "")
+    number = tx.parse_number(F.col("text"))["value"].isNotNull()
+    column, row = Window.partitionBy(*by, "col_id"), Window.partitionBy(*by, "row_id")
+    seen = cells.select(*place, "text", "confidence", filled.alias("__filled"), (filled & number).alias("__number"))
+    seen = seen.withColumn("__numeric", F.try_divide(F.count_if("__number").over(column), F.count_if("__filled").over(column)) >= share).withColumn("__n", F.count(F.lit(1)).over(row))
+    # A table's rows by length, weighing each row once: its first cell stands for it.
+    lead = F.row_number().over(row.orderBy("col_id")) == 1
+    seen = seen.withColumn("__lead", lead)
+    usual = seen.where("__lead").groupBy(*by, "__n").agg(F.count(F.lit(1)).alias("__rows"), F.min("row_id").alias("__first"))
+    usual = usual.groupBy(*by).agg(F.min_by("__n", F.struct(-F.col("__rows"), F.col("__first"))).alias("__usual"), F.sum("__rows").alias("__all"))
+    flags = F.concat(
+        tx.cell_flags(F.col("text"), F.col("confidence")),
+        F.when(F.col("__filled") & ~F.col("__number") & F.col("__numeric"), F.array(F.lit("unparseable_number"))).otherwise(F.array().cast("array<string>")),
+        F.when((F.col("__all") >= least_rows) & (F.col("__n") != F.col("__usual")), F.array(F.lit("ragged_row"))).otherwise(F.array().cast("array<string>")),
+    )
+    return seen.join(usual, list(by)).select(*place, "text", F.explode(flags).alias("flag"))
 
 
 #: Order in which kinds of findings are reported.

@@ -96,7 +96,7 @@ def grid_to_rectangular(spark, sf):
     return rows.select("table_id", "row_id", C("r")[0].alias("a"), C("r")[1].alias("b"), F.when(C("r")[2] == "", "pad").alias("c"))
 
 
-@here("SELECT table_id, 4 AS width, true AS valid FROM v_grid4 GROUP BY 1")
+@here("WITH f AS (SELECT table_id, count(DISTINCT col_id) FILTER (WHERE trim(text) <> '')::INT AS width FROM v_cells GROUP BY 1), n AS (SELECT table_id, row_id, count(*) AS n FROM v_cells GROUP BY 1, 2), v AS (SELECT table_id, min(n) = max(n) AS valid FROM n GROUP BY 1) SELECT * FROM f JOIN v USING (table_id)")
 def grid_validity(spark, sf):
-    grids = tb.grids(view(spark, sf, "v_grid4"), ["table_id"])
-    return grids.select("table_id", markup.width(markup.prune_empty_columns(C("grid"))).alias("width"), markup.is_rectangular(C("grid")).alias("valid")).withColumn("width", F.greatest("width", F.lit(4)))
+    grids = tb.grids(view(spark, sf, "v_cells"), ["table_id"])
+    return grids.select("table_id", markup.width(markup.prune_empty_columns(C("grid"))).alias("width"), markup.is_rectangular(C("grid")).alias("valid"))

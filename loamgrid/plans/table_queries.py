@@ -124,13 +124,15 @@ def stitch_rows(spark, sf):
     return tb.stitched_rows(view(spark, sf, _SIGNED), ["document"], "page")
 
 
-@here("""WITH c AS (SELECT l_orderkey AS table_id, line AS row_id, 0 AS col_id, line % 4 = 3 AS t, CASE WHEN l_suppkey % 23 = 0 THEN NULL ELSE floor(l_quantity) END AS v FROM v_lines),
+_TOTALS = "SELECT l_orderkey AS table_id, line AS row_id, 0 AS col_id, line % 4 = 3 AS t, l_partkey % 29 = 0 AS pct, l_suppkey % 19 = 0 AS blank, CASE WHEN l_suppkey % 23 = 0 OR l_suppkey % 19 = 0 THEN NULL ELSE CAST(floor(l_quantity) AS DOUBLE) END AS v FROM v_lines"
+
+
+@here(f"""WITH c AS ({_TOTALS}),
     p AS (SELECT *, coalesce(sum(t::INT) OVER (PARTITION BY table_id ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM c),
-    g AS (SELECT table_id, part, sum(CASE WHEN NOT t THEN v END) AS expected, bool_and(v IS NOT NULL) AS sound, max(CASE WHEN t THEN v END) AS total, max(CASE WHEN t THEN row_id END) AS row_id FROM p GROUP BY 1, 2)
-    SELECT table_id, row_id, 0 AS col_id, total, expected FROM g WHERE sound AND total IS NOT NULL AND expected IS NOT NULL AND abs(total - expected) > 0.5""")
+    g AS (SELECT table_id, part, coalesce(sum(v) FILTER (WHERE NOT t AND NOT pct AND NOT blank), 0) AS expected, count(*) FILTER (WHERE NOT t AND NOT blank) AS filled, count(*) FILTER (WHERE NOT t AND NOT blank AND v IS NULL) AS odd, max(v) FILTER (WHERE t) AS total, max(row_id) FILTER (WHERE t) AS row_id FROM p GROUP BY 1, 2)
+    SELECT table_id, row_id, 0 AS col_id, total, expected FROM g WHERE filled > 0 AND odd = 0 AND abs(total - expected) > 0.5""")
 def segmented_total_check(spark, sf):
-    rows = view(spark, sf, "SELECT l_orderkey AS table_id, line AS row_id, 0 AS col_id, line % 4 = 3 AS t, CASE WHEN l_suppkey % 23 = 0 THEN NULL ELSE CAST(floor(l_quantity) AS DOUBLE) END AS v FROM v_lines")
-    return tb.total_mismatch(rows, BY, F.col("t"), F.col("v"), F.lit(False))
+    return tb.total_mismatch(view(spark, sf, _TOTALS), BY, F.col("t"), F.col("v"), F.col("pct"), F.col("blank"))
 
 
 _TITLED = "SELECT table_id, row_id, col_id, CASE WHEN row_id = 0 AND col_id > 0 AND table_id % 3 = 0 THEN '' ELSE text END AS text FROM v_grid4"
@@ -182,9 +184,34 @@ def class_accuracy_positional(spark, sf):
     return one.groupBy(F.col("c").alias("col_id")).agg(*[F.sum(x).alias(x) for x in ("cells", "exact", "numeric", "numeric_exact", "empty", "empty_exact")])
 
 
+#: What an engine read: one letter too many in the last column, spaces where they do not matter, a number misread.
+_READ = "SELECT table_id, row_id, col_id, CASE WHEN col_id = 3 AND (table_id * 7 + row_id) % 3 = 0 THEN concat(text, 'x') WHEN col_id = 0 AND row_id % 2 = 1 THEN concat(' ', text, ' ') WHEN col_id = 2 AND text = '' AND row_id = 2 THEN '|' ELSE text END AS text FROM v_grid4"
+
+
+@here(f"""WITH p AS (SELECT table_id, row_id, col_id, trim(text) AS p FROM ({_READ})), b AS (SELECT table_id, row_id, col_id, text AS t, p, regexp_full_match(text, '[0-9]+') AS num FROM v_grid4 JOIN p USING (table_id, row_id, col_id)),
+    tc AS (SELECT table_id, t, count(*) AS n FROM b WHERE t <> '' GROUP BY 1, 2), pc AS (SELECT table_id, p AS t, count(*) AS m FROM b GROUP BY 1, 2),
+    rc AS (SELECT table_id, sum(least(n, coalesce(m, 0))) / sum(n)::DOUBLE AS recall FROM tc LEFT JOIN pc USING (table_id, t) GROUP BY 1),
+    j AS (SELECT table_id, string_agg(t, ' ' ORDER BY row_id, col_id) FILTER (WHERE t <> '') AS a, string_agg(p, ' ' ORDER BY row_id, col_id) FILTER (WHERE p <> '') AS z FROM b GROUP BY 1),
+    c AS (SELECT table_id, max(row_id) + 1 AS r, count(*) AS cells, count(*) FILTER (WHERE t = p) AS ok, count(*) FILTER (WHERE num) AS nt, count(*) FILTER (WHERE num AND t = p) AS nc, count(*) FILTER (WHERE t = '') AS e, count(*) FILTER (WHERE t = '' AND p = '') AS ec FROM b GROUP BY 1)
+    SELECT table_id, 1::BIGINT AS tables_found, r::BIGINT AS gt_rows, 4::BIGINT AS gt_cols, r::BIGINT AS pred_rows, 4::BIGINT AS pred_cols, ok / cells::DOUBLE AS cell_accuracy, recall AS cell_content_recall, levenshtein(a, z) / len(a)::DOUBLE AS table_cer,
+        cells AS cells_total, ok AS cells_correct, 0::BIGINT AS khmer_cells_total, 0::BIGINT AS khmer_cells_correct, 0.0::DOUBLE AS khmer_cell_accuracy, nt AS numeric_cells_total, nc AS numeric_cells_correct, nc / nt::DOUBLE AS numeric_cell_accuracy, 0::BIGINT AS numeric_cells_khmer_digit_slips,
+        e AS empty_gt_cells_total, ec AS empty_gt_cells_clean, CASE WHEN e > 0 THEN ec / e::DOUBLE END AS empty_cell_precision, true AS grid_shape_match, true AS col_count_match, 1.0::DOUBLE AS row_alignment_rate, 1.0::DOUBLE AS col_alignment_rate
+    FROM c JOIN rc USING (table_id) JOIN j USING (table_id)""")
+def table_metrics(spark, sf):
+    """All metrics where rows and columns stay in place, so that SQL can tell them; alignment proper is tested by brute force."""
+    return ev.table_metrics(view(spark, sf, "v_grid4"), view(spark, sf, _READ))
+
+
 @here()
 def aligned_table_metrics(spark, sf):
-    return ev.aligned_metrics(view(spark, sf, "v_grid4"), view(spark, sf, "v_pred"))
+    """All metrics where cells are lost and misread, so that rows and columns must be aligned first."""
+    return ev.table_metrics(view(spark, sf, "v_grid4"), view(spark, sf, "v_pred"))
+
+
+@here("WITH s AS (SELECT l_orderkey AS table_id, l_linenumber AS part, line, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, line) - 1 AS row_id, l_returnflag AS text FROM v_lines) SELECT table_id, row_id::INT AS row_id, 0 AS col_id, text FROM s")
+def stacked_parts(spark, sf):
+    cells = view(spark, sf, "SELECT l_orderkey AS table_id, l_linenumber AS part, CAST(row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY line) - 1 AS INT) AS row_id, 0 AS col_id, l_returnflag AS text FROM v_lines")
+    return ev.stacked(cells, "table_id", "part")
 
 
 @here("SELECT s_nationkey, round(sum(levenshtein(s_name, concat(s_name, 'x'))) / sum(length(s_name))::DOUBLE, 9) AS micro, round(avg(levenshtein(s_name, concat(s_name, 'x')) / length(s_name)::DOUBLE), 9) AS macro FROM supplier GROUP BY 1")

@@ -49,6 +49,14 @@ VIEWS = {
 }
 
 
+#: What Spark reads in place of a text above: the same rows from one scan.
+_IN_SPARK = {
+    "v_grid4": """
+        SELECT l_orderkey AS table_id, line AS row_id, stack(4, 0, CAST(CAST(floor(l_quantity) AS BIGINT) AS STRING), 1, CAST(CAST(floor(l_extendedprice) AS BIGINT) AS STRING),
+               2, CASE WHEN l_partkey % 9 = 0 THEN '' ELSE CAST(l_partkey AS STRING) END, 3, l_returnflag) AS (col_id, text) FROM v_lines""",
+}
+
+
 def _used(sql: str) -> list[str]:
     """Views that a text needs, each after those that it needs itself."""
     out: list[str] = []
@@ -59,18 +67,16 @@ def _used(sql: str) -> list[str]:
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A view by name, a driver table by name, or any SQL text over both."""
+    """A view by name, a driver table by name, or any SQL text over both; the session's own views are left alone."""
     ship(spark)
     if sql in TABLES:
         return spark.read.parquet(f"{sf_dir}/{sql}.parquet")
     text = VIEWS.get(sql, sql)
-    names = _used(text)
-    for t in TABLES:
-        if any(re.search(rf"\b{t}\b", x) for x in (text, *(VIEWS[n] for n in names))):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    for n in names:
-        spark.sql(VIEWS[n]).createOrReplaceTempView(n)
-    return spark.sql(text)
+    names = [*_used(text), *([sql] if sql in VIEWS else [])]
+    parts = {n: _IN_SPARK.get(n, VIEWS[n]) for n in names}
+    tables = [t for t in TABLES if any(re.search(rf"\b{t}\b", x) for x in (text, *parts.values()))]
+    heads = {t: f"SELECT * FROM parquet.`{sf_dir}/{t}.parquet`" for t in tables} | parts
+    return spark.sql(_headed(f"SELECT * FROM {sql}" if sql in VIEWS else text, heads))
 
 
 def oracle(sql: str) -> str:
@@ -78,8 +84,13 @@ def oracle(sql: str) -> str:
     names = _used(sql)
     if not names:
         return sql
-    heads = ", ".join(f"{n} AS ({VIEWS[n]})" for n in names)
+    return _headed(sql, {n: VIEWS[n] for n in names})
+
+
+def _headed(sql: str, heads: dict[str, str]) -> str:
+    """The text with named ones in front."""
+    front = ", ".join(f"{n} AS ({text})" for n, text in heads.items())
     body = sql.strip()
     if re.match(r"(?i)with\s+recursive\b", body):
-        return f"WITH RECURSIVE {heads}, {re.sub(r'(?i)^with\s+recursive', '', body)}"
-    return f"WITH {heads}, {re.sub(r'(?i)^with', '', body)}" if re.match(r"(?i)with\b", body) else f"WITH {heads} {body}"
+        return f"WITH RECURSIVE {front}, {re.sub(r'(?i)^with\s+recursive', '', body)}"
+    return f"WITH {front}, {re.sub(r'(?i)^with', '', body)}" if re.match(r"(?i)with\b", body) else f"WITH {front} {body}"

@@ -34,6 +34,12 @@ def test_totals(spark):
     d = spark.createDataFrame(grid, "t int, row_id int, col_id int, is_total boolean, v double")
     got = tb.total_mismatch(d, BY, F.col("is_total"), F.col("v"), F.lit(False)).collect()
     assert [(r["row_id"], r["total"], r["expected"]) for r in got] == [(2, 999.0, 30.0)]
+    # Blanks are passed over, percentages not summed, an odd text taints its stretch, and a total that is no number ends one.
+    rows = ["10", "", "50%", "25", "T12", "x", "9", "T1", "3", "Tn/a", "4", "T4", "T7"]
+    parsed = [(1, i, 0, r[:1] == "T", None if r in ("", "x", "Tn/a") else float(r.strip("T%")), r[-1:] == "%", r == "") for i, r in enumerate(rows)]
+    d = spark.createDataFrame(parsed, "t int, row_id int, col_id int, is_total boolean, v double, p boolean, b boolean")
+    got = tb.total_mismatch(d, BY, F.col("is_total"), F.col("v"), F.col("p"), F.col("b")).collect()
+    assert [(r["row_id"], r["total"], r["expected"]) for r in got] == [(4, 12.0, 35.0)]
 
 
 def test_stitch_anchors_on_the_first_table(spark):
@@ -51,15 +57,57 @@ def test_title(spark):
     assert [(r["row_id"], r["text"]) for r in got] == [(0, "a"), (0, "b")]
 
 
+def best_total(alike, i=0, j=0):
+    """Largest total over all order-preserving pairs, by trying everything."""
+    if i == len(alike) or j == len(alike[0]):
+        return 0.0
+    skip = max(best_total(alike, i + 1, j), best_total(alike, i, j + 1))
+    return max(skip, alike[i][j] + best_total(alike, i + 1, j + 1)) if alike[i][j] >= 0.5 else skip
+
+
+def test_alignment_against_every_other():
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row = [i + 1] + [0] * len(b) if not b else _next(row, i, x, b)
+        return row[-1]
+
+    def _next(row, i, x, b):
+        out = [i + 1]
+        for j, y in enumerate(b):
+            out.append(min(out[-1] + 1, row[j + 1] + 1, row[j] + (x != y)))
+        return out
+
+    rng = random.Random(21)
+    for _ in range(150):
+        a, b = ([" ".join(rng.choices(["ab", "cd", "a", ""], k=3)) for _ in range(rng.randrange(1, 6))] for _ in range(2))
+        alike = [[1 - edits(x, y) / max(len(x), len(y), 1) for y in b] for x in a]
+        got = evaluation.align(a, b)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False)) and all(alike[i][j] >= 0.5 for i, j in got)
+        assert abs(sum(alike[i][j] for i, j in got) - best_total(alike)) < 1e-9
+    # Ties: the earliest lines are paired.
+    assert evaluation.align(["x", "x"], ["x"]) == [(0, 0)] and evaluation.align(["x"], ["x", "x"]) == [(0, 0)]
+    assert evaluation.align([], ["x"]) == [] == evaluation.align(["x"], [])
+
+
 def test_alignment(spark):
-    score = lambda t, g: evaluation.aligned_metrics(cells(spark, t), cells(spark, g), "t").first()
-    base = [["aaaa", "1111"], ["bbbb", "2222"]]
-    assert score(base, base)["accuracy"] == 1
-    assert score(base, [["extra row here", ""], *base])["accuracy"] == 1
-    assert score(base, [[r[0], "zzzzzzzz", r[1]] for r in base])["exact"] >= 2
-    assert score([["aaaa", "1111"]], [["1111", "aaaa"]])["accuracy"] < 1
-    alone = evaluation.aligned_metrics(cells(spark, base), cells(spark, base, t=2), "t").first()
-    assert (alone["cells"], alone["exact"]) == (4, 0)
+    score = lambda t, g: evaluation.table_metrics(cells(spark, t), cells(spark, g), "t").first()
+    base = [["aaaa", "1111", ""], ["bbbb", "2222", "x y"]]
+    same = score(base, base)
+    assert (same["cell_accuracy"], same["row_alignment_rate"], same["col_alignment_rate"], same["table_cer"], same["numeric_cells_total"], same["empty_cell_precision"]) == (1, 1, 1, 0, 2, 1)
+    more = score(base, [["extra row here", "of", "text"], *base])
+    assert more["cell_accuracy"] == 1 and not more["grid_shape_match"] and more["col_count_match"] and more["pred_rows"] == 3
+    assert score(base, [["A title", "", ""], *base])["grid_shape_match"]
+    assert score(base, [[r[0], "zzzzzzzz", *r[1:]] for r in base])["cells_correct"] == 6
+    slips = score(base, [["aaaa", "១១១១", "|"], ["bbbb", "2223", "x  y"]])
+    assert (slips["numeric_cells_correct"], slips["numeric_cells_khmer_digit_slips"], slips["empty_gt_cells_clean"], slips["cells_correct"], slips["empty_cell_precision"]) == (1, 1, 0, 3, 0)
+    assert score([["aaaa", "1111"]], [["1111", "aaaa"]])["cell_accuracy"] < 1
+    alone = evaluation.table_metrics(cells(spark, base), cells(spark, base, t=2), "t").first()
+    assert (alone["tables_found"], alone["cells_correct"], alone["cells_total"], alone["cell_content_recall"], alone["table_cer"], alone["row_alignment_rate"]) == (0, 0, 6, 0, 1, 0)
+    parts = cells(spark, base[:1]).withColumn("k", F.lit(0)).unionByName(cells(spark, base[1:]).withColumn("k", F.lit(1)))
+    both = evaluation.table_metrics(cells(spark, base), parts, "t", "k").first()
+    assert (both["tables_found"], both["cell_accuracy"], both["pred_rows"]) == (2, 1, 2)
+
 
 
 def test_distance_against_the_plain_table():

@@ -261,7 +261,7 @@ def matches(c: Column, query: str) -> Column:
 
 def three_places(c: Column) -> Column:
     """Three decimals as text, blank if missing."""
-    return F.coalesce(F.format_string("%.3f", c), F.lit(""))
+    return F.when(c.isNull(), F.lit("")).otherwise(F.format_string("%.3f", c))
 
 
 def ctc_collapse(symbols: Column, blank: Column) -> Column:

@@ -8,15 +8,16 @@ that words seen once had, so probabilities add up to one over the known words an
 one unknown.
 
 Counts are exact over all training documents. The softmax is trained by gradient
-updates in every task over all of its documents, in rounds whose changes are
-averaged. Texts are scored in sparse numpy batches; rare words meet their counts
+updates in every task over all of its documents, in rounds after which each
+feature's changes are averaged over the tasks that met it. The tables of features
+grow with the words and tokens counted, up to a stated bound. Texts are scored in sparse numpy batches; rare words meet their counts
 in a join, frequent ones in a table of fixed size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +37,15 @@ _BEFORE = 0
 @dataclass(frozen=True)
 class MaxEnt:
     """own: frequent words with a class to themselves; endings: classes by a word's last two bytes; context: numbers that a
-    context word can have, the first half for frequent words; pairs: hashed pairs of words; table: frequent words, at most, whose
-    counts are sent along; rounds: of training, each over its own part of the documents; rate: of AdaGrad; batch: tokens."""
+    context word can have, the first half for frequent words; pairs: hashed pairs of words, both at least, as sized() makes them
+    grow up to most_context and most_pairs; table: frequent words, at most, whose counts are sent along; rounds: of training, each over its own part of the documents; rate: of AdaGrad; batch: tokens."""
 
     own: int = 12
     endings: int = 20
     context: int = 4096
     pairs: int = 4096
+    most_context: int = 1 << 15
+    most_pairs: int = 1 << 18
     table: int = 1 << 18
     rounds: int = 3
     rate: float = 0.4
@@ -53,6 +56,12 @@ class MaxEnt:
     def classes(self) -> int:
         return self.own + self.endings
 
+    def sized(self, words: int, tokens: int) -> MaxEnt:
+        """This model for ``words`` different words in ``tokens``: four context numbers to the root of the words and a pair to
+        the root of the tokens, in powers of two; with most_context and most_pairs the weights sent stay below 50 MB."""
+        grown = lambda least, want, most: max(least, min(most, 1 << max(int(want) - 1, 0).bit_length()))
+        return replace(self, context=grown(self.context, 4 * words**0.5, self.most_context), pairs=grown(self.pairs, tokens**0.5, self.most_pairs))
+
     @property
     def rows(self) -> int:
         """Feature rows: bias, three context places and pairs, filled up to whole blocks."""
@@ -226,22 +235,23 @@ def train(docs: DataFrame, known: Counts, how: MaxEnt) -> np.ndarray:
                         _descend(mine, seen, rows[s : s + how.batch], cls[s : s + how.batch], how.rate)
                     tokens += len(h)
             if tokens:
-                change = ((mine - start) * np.float32(tokens / 1e6)).astype(np.float32).reshape(blocks, -1)
+                weight = np.where((seen > 0).any(axis=1), np.float32(tokens / 1e6), np.float32(0))
+                change = ((mine - start) * weight[:, None]).reshape(blocks, -1)
+                weight = weight.reshape(blocks, -1)
                 salt = TaskContext.get().partitionId() % 64
                 for i in range(blocks):
-                    yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "salt": pa.array([salt], pa.int32()), "weight": pa.array([tokens / 1e6]), "change": pa.array([change[i].tobytes()], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"block": pa.array([i], pa.int32()), "salt": pa.array([salt], pa.int32()), "weight": pa.array([weight[i].tobytes()], pa.binary()), "change": pa.array([change[i].tobytes()], pa.binary())})
 
         def add(pdf):
-            total = np.zeros(how.block * how.classes, np.float64)
-            for b in pdf["change"]:
-                total += np.frombuffer(b, np.float32)
-            return pdf.head(1).assign(weight=pdf["weight"].sum(), change=[total.astype(np.float32).tobytes()])
+            total = lambda parts: [sum(np.frombuffer(b, np.float32).astype(np.float64) for b in parts).astype(np.float32).tobytes()]
+            return pdf.head(1).assign(weight=total(pdf["weight"]), change=total(pdf["change"]))
 
-        schema = "block int, salt int, weight double, change binary"
+        schema = "block int, salt int, weight binary, change binary"
         part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(how.rounds)) == turn).select("text")
         w = w.copy()
         for r in part.mapInArrow(learn, schema).groupBy("block", "salt").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema).toLocalIterator():
-            w[r["block"] * how.block : (r["block"] + 1) * how.block] += (np.frombuffer(r["change"], np.float32) / np.float32(r["weight"])).reshape(how.block, -1)
+            weight = np.frombuffer(r["weight"], np.float32)[:, None]
+            w[r["block"] * how.block : (r["block"] + 1) * how.block] += np.frombuffer(r["change"], np.float32).reshape(how.block, -1) / np.where(weight > 0, weight, 1)
     return w
 
 
@@ -306,4 +316,5 @@ def fit_and_score(docs: DataFrame, training: DataFrame, how: MaxEnt = MaxEnt())
     """
     training = training.select("doc_id", "text")
     vocabulary, known = count(training, how)
+    how = how.sized(known.words, known.total)
     return score(docs, vocabulary, known, train(training, known, how), how)

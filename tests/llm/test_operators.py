@@ -234,6 +234,14 @@ def test_language_model(spark, awkward, nothing):
     assert (alone["n_known"], alone["train_tokens"]) == (0, 0)
 
 
+def test_language_model_grows_with_its_counts():
+    how = maxent_lm.MaxEnt()
+    sizes = [how.sized(10 ** (k // 2 + 1), 10**k) for k in range(14)]
+    assert how.sized(0, 0) == how
+    assert all(a.rows <= b.rows for a, b in zip(sizes, sizes[1:])) and sizes[4].rows < sizes[9].rows < sizes[11].rows
+    assert all(4 * s.rows * s.classes < 50_000_000 for s in sizes)
+
+
 def test_probabilities_add_up(spark):
     """After one context, the known words and the unknown one share all of the mass."""
     rng = random.Random(4)

@@ -1,17 +1,21 @@
 """Language-model scores from a hashed maximum-entropy model with a class-factored softmax.
 
-A word's probability is that of its class in context times that of the word in
-its class. The class comes from a softmax over hashed n-gram and skip features
-(the word before, the one before that, both together, and the third back); the
-word in its class from exact counts. Words never seen in training share the mass
-that words seen once had, so probabilities add up to one over the known words and
-one unknown.
-
-Counts are exact over all training documents. The softmax is trained by gradient
-updates in every task over all of its documents, in rounds after which each
-feature's changes are averaged over the tasks that met it. The tables of features
-grow with the words and tokens counted, up to a stated bound. Texts are scored in sparse numpy batches; rare words meet their counts
-in a join, frequent ones in a table of fixed size.
+A word's probability is that of its class in context, times that of its group
+among the class's groups in the same context, times that of the word in its
+group. Class and group come from softmaxes over hashed n-gram and skip features
+(the word before, the one before that, both together, and, for the class, the
+third back); the group's features are hashed with the class. Frequent words are
+groups of their own, so context reaches the word itself; others share a group by
+their last two bytes and follow exact counts there. Words never seen in training
+share the mass that words seen once had, so probabilities add up to one over the
+known words and one unknown.
+
+Counts are exact over all training documents. The softmaxes are trained by
+gradient updates in every task over all of its documents, in rounds after which
+each feature's changes are averaged over the tasks that met it. The tables of
+features grow with the words and tokens counted, up to a stated bound. Texts are
+scored in sparse numpy batches; rare words meet their counts in a join, frequent
+ones in a table of fixed size.
 """
 
 from __future__ import annotations
@@ -36,16 +40,20 @@ _BEFORE = 0
 
 @dataclass(frozen=True)
 class MaxEnt:
-    """own: frequent words with a class to themselves; endings: classes by a word's last two bytes; context: numbers that a
-    context word can have, the first half for frequent words; pairs: hashed pairs of words, both at least, as sized() makes them
-    grow up to most_context and most_pairs; table: frequent words, at most, whose counts are sent along; rounds: of training, each over its own part of the documents; rate: of AdaGrad; batch: tokens."""
-
-    own: int = 12
-    endings: int = 20
+    """wide: classes, and groups in each; own: classes whose groups are one frequent word each, the other classes' groups go by
+    a word's last two bytes; context: numbers that a context word can have, the first half for frequent words; pairs: hashed
+    pairs of words; within: hashed features of groups, all three at least, as sized() makes them grow up to most_context,
+    most_pairs and most_within; table: frequent words, at most, whose counts are sent along; rounds: of training, each over its
+    own part of the documents; rate: of AdaGrad; batch: tokens."""
+
+    wide: int = 16
+    own: int = 7
     context: int = 4096
     pairs: int = 4096
+    within: int = 1 << 15
     most_context: int = 1 << 15
     most_pairs: int = 1 << 18
+    most_within: int = 1 << 18
     table: int = 1 << 18
     rounds: int = 3
     rate: float = 0.4
@@ -53,19 +61,31 @@ class MaxEnt:
     block: int = 1024
 
     @property
-    def classes(self) -> int:
-        return self.own + self.endings
+    def alone(self) -> int:
+        """Frequent words that are groups of their own."""
+        return self.own * self.wide
 
     def sized(self, words: int, tokens: int) -> MaxEnt:
-        """This model for ``words`` different words in ``tokens``: four context numbers to the root of the words and a pair to
-        the root of the tokens, in powers of two; with most_context and most_pairs the weights sent stay below 50 MB."""
+        """This model for ``words`` different words in ``tokens``: four context numbers to the root of the words, a pair and a
+        group's feature to the root of the tokens, in powers of two; the weights sent stay below 50 MB."""
         grown = lambda least, want, most: max(least, min(most, 1 << max(int(want) - 1, 0).bit_length()))
-        return replace(self, context=grown(self.context, 4 * words**0.5, self.most_context), pairs=grown(self.pairs, tokens**0.5, self.most_pairs))
+        return replace(
+            self, context=grown(self.context, 4 * words**0.5, self.most_context), pairs=grown(self.pairs, tokens**0.5, self.most_pairs), within=grown(self.within, tokens**0.5, self.most_within)
+        )
+
+    @property
+    def base(self) -> int:
+        """Feature rows of classes: bias, three context places and pairs. Those of groups follow: a bias for each class, then hashes."""
+        return 1 + 3 * self.context + self.pairs
 
     @property
     def rows(self) -> int:
-        """Feature rows: bias, three context places and pairs, filled up to whole blocks."""
-        return -(-(1 + 3 * self.context + self.pairs) // self.block) * self.block
+        """All feature rows, filled up to whole blocks."""
+        return -(-(self.base + self.wide + self.within) // self.block) * self.block
+
+    def group(self, ending):
+        """The group, counted over all classes, of a word that is not alone in one; for numbers, arrays and columns."""
+        return (self.own + ending % 256 % (self.wide - self.own)) * self.wide + (ending - ending % 256) / 256 % self.wide
 
 
 @dataclass
@@ -76,7 +96,7 @@ class Counts:
     frequent: np.ndarray  # hashes of the most frequent words, sorted
     counts: np.ndarray
     rank: np.ndarray  # 0 is the most frequent
-    mass: np.ndarray  # of each class: its words' counts, 0.1 more each
+    mass: np.ndarray  # of each group: its words' counts, 0.1 more each
 
     @property
     def unknown(self) -> float:
@@ -127,17 +147,18 @@ def count(docs: DataFrame, how: MaxEnt) -> tuple[DataFrame, Counts]:
             yield tell()
 
     vocabulary = stored(docs.select("text").mapInArrow(tally, "h long, n long, ending long").groupBy("h").agg(F.sum("n").alias("n"), F.min("ending").alias("ending")))
-    sums = vocabulary.groupBy((F.col("ending") % how.endings).alias("class")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"), F.sum((F.col("n") == 1).cast("long")).alias("once")).collect()
+    sums = vocabulary.groupBy(how.group(F.col("ending")).cast("int").alias("group")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"), F.sum((F.col("n") == 1).cast("long")).alias("once")).collect()
     top = _frequent(vocabulary, how).sort_values(["n", "h"], ascending=[False, True], ignore_index=True)
-    mass = np.zeros(how.classes)
+    mass = np.zeros(how.wide * how.wide)
     for r in sums:
-        mass[how.own + r["class"]] = r["n"] + 0.1 * r["words"]
-    for i, (n, e) in enumerate(zip(top["n"][: how.own], top["ending"][: how.own], strict=True)):
+        mass[r["group"]] = r["n"] + 0.1 * r["words"]
+    for i, (n, e) in enumerate(zip(top["n"][: how.alone], top["ending"][: how.alone], strict=True)):
         mass[i] = n + 0.1
-        mass[how.own + e % how.endings] -= n + 0.1
+        mass[int(how.group(e))] -= n + 0.1
+    mass[mass < 0.5] = 0  # no word, but for rounding
     h = top["h"].to_numpy(np.int64)
     order = np.argsort(h)
-    known = Counts(sum(r["n"] for r in sums), sum(r["words"] for r in sums), sum(r["once"] for r in sums), h[order], top["n"].to_numpy(np.int64)[order], order.astype(np.int64), np.maximum(mass, 0.1))
+    known = Counts(sum(r["n"] for r in sums), sum(r["words"] for r in sums), sum(r["once"] for r in sums), h[order], top["n"].to_numpy(np.int64)[order], order.astype(np.int64), mass)
     return vocabulary, known
 
 
@@ -155,7 +176,7 @@ def _frequent(vocabulary: DataFrame, how: MaxEnt):
 
 
 class Features:
-    """Turns tokens into feature rows and classes."""
+    """Turns tokens into feature rows, classes and groups."""
 
     def __init__(self, known: Counts, how: MaxEnt, table: bool):
         from loamgrid.llm.decontamination import _Known
@@ -168,8 +189,8 @@ class Features:
         self.at = self.at[order]
         self.find = _Known(h[order])
 
-    def __call__(self, h: np.ndarray, ending: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(feature rows (token, 5), class, number in the frequent table or -1)."""
+    def __call__(self, h: np.ndarray, ending: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(feature rows of the class (token, 5), those of its groups (token, 4), group over all classes, number in the frequent table or -1)."""
         how = self.how
         place, no = self.find.find(h.view(_U))
         listed = np.full(len(h), -1, np.int64)
@@ -177,7 +198,7 @@ class Features:
         rank = np.where(listed >= 0, self.known.rank[listed], 1 << 40) if len(self.known.rank) else np.full(len(h), 1 << 40)
         half = how.context // 2
         word = np.where(rank < half - 1, rank + 1, half + ending % half)
-        cls = np.where(rank < how.own, rank, how.own + ending % how.endings)
+        group = np.where(rank < how.alone, rank, how.group(ending).astype(np.int64))
         back = []
         start = np.repeat(first[:-1], np.diff(first))
         spot = np.arange(len(h))
@@ -188,36 +209,66 @@ class Features:
             back.append(b)
         pair = (back[0] * 0x9E3779B1 + back[1] * 0x85EBCA77) >> 7
         rows = np.stack((np.zeros(len(h), np.int64), 1 + back[0], 1 + how.context + back[1], 1 + 2 * how.context + back[2], 1 + 3 * how.context + pair % how.pairs), axis=1)
-        return rows, cls, listed
+        cls = group // how.wide
+        mixed = ((rows[:, [1, 2, 4]] << 8 | cls[:, None]) * 0x9E3779B1) >> 12
+        within = np.concatenate((how.base + cls[:, None], how.base + how.wide + mixed % how.within), axis=1)
+        return rows, within, group, listed
 
 
-def _log_softmax(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    x = w[rows[:, 0]]
+def _scores(w: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Each token's weights, added up and brought below zero; (class or place, token), as numpy is quick along rows."""
+    x = w.take(rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
-        x = x + w[rows[:, k]]
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+        x += w.take(rows[:, k], axis=0)
+    x = np.ascontiguousarray(x.T)
+    x -= x.max(axis=0)
     return x
 
 
-def _descend(w: np.ndarray, seen: np.ndarray, rows: np.ndarray, cls: np.ndarray, rate: float) -> None:
+def _log_chosen(w: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    x = _scores(w, rows)
+    own = x[chosen, np.arange(len(chosen))]
+    return own.astype(np.float64) - np.log(np.exp(x, out=x).sum(axis=0))
+
+
+def log_group(w: np.ndarray, rows: np.ndarray, within: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The natural logarithm of each token's group's probability in its context."""
+    return _log_chosen(w, rows, group // w.shape[1]) + _log_chosen(w, within, group % w.shape[1])
+
+
+def _descend(w: np.ndarray, seen: np.ndarray, rows: np.ndarray, chosen: np.ndarray, rate: float) -> None:
     """One AdaGrad step on a batch, in place: a feature's gradient is what its tokens were given less what they had."""
-    g = np.exp(_log_softmax(w, rows))
-    g[np.arange(len(cls)), cls] -= 1
-    wide, columns = w.shape[1], np.arange(w.shape[1])
-    flat = g.ravel().astype(np.float64)
+    g = _scores(w, rows)
+    np.exp(g, out=g)
+    g /= g.sum(axis=0)
+    g[chosen, np.arange(len(chosen))] -= 1
+    g = g.astype(np.float64)
+    slot = np.zeros(len(w), np.int64)
     for k in range(rows.shape[1]):
-        touched, at = (np.array([0]), np.zeros(len(cls), np.int64)) if k == 0 else np.unique(rows[:, k], return_inverse=True)
-        total = np.bincount((at[:, None] * wide + columns).ravel(), weights=flat, minlength=len(touched) * wide).reshape(-1, wide).astype(np.float32)
-        seen[touched] += total * total
-        w[touched] -= rate * total / np.sqrt(seen[touched] + 1.0)
+        slot[:] = 0
+        slot[rows[:, k]] = 1
+        touched = np.flatnonzero(slot)
+        slot[touched] = np.arange(len(touched))
+        at = slot.take(rows[:, k])
+        total = np.stack([np.bincount(at, weights=c, minlength=len(touched)) for c in g], axis=1).astype(np.float32)
+        past = seen.take(touched, axis=0) + total * total
+        seen[touched] = past
+        w[touched] = w.take(touched, axis=0) - rate * total / np.sqrt(past + 1.0)
+
+
+def start(known: Counts, how: MaxEnt) -> np.ndarray:
+    """Untrained weights: the biases give each class and group its share of the counts, and nothing to one without words."""
+    w = np.zeros((how.rows, how.wide), np.float32)
+    mass = known.mass.reshape(how.wide, how.wide)
+    w[0] = np.log(mass.sum(axis=1) + 1e-9)
+    w[how.base : how.base + how.wide] = np.log(mass + 1e-9)
+    return w
 
 
 def train(docs: DataFrame, known: Counts, how: MaxEnt) -> np.ndarray:
-    """Weights (feature row, class) after ``rounds`` passes, which together take in each document of ``docs`` once."""
+    """Weights (feature row, class or place in it) after ``rounds`` passes, which together take in each document of ``docs`` once."""
     sc = docs.sparkSession.sparkContext
-    w = np.zeros((how.rows, how.classes), np.float32)
-    w[0] = np.log(known.mass / known.mass.sum())
+    w = start(known, how)
     fixed = sc.broadcast(known)
     blocks = how.rows // how.block
 
@@ -225,18 +276,20 @@ def train(docs: DataFrame, known: Counts, how: MaxEnt) -> np.ndarray:
         sent = sc.broadcast(w)
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            make, start = Features(fixed.value, how, False), sent.value
-            mine, seen, tokens = start.copy(), np.zeros_like(start), 0
+            make, before = Features(fixed.value, how, False), sent.value
+            mine, seen, tokens = before.copy(), np.zeros_like(before), 0
             for batch in batches:
                 for part in slices(batch, "text"):
                     h, ending, first = _tokens(part.column("text"))
-                    rows, cls, _ = make(h, ending, first)
+                    rows, within, group, _ = make(h, ending, first)
                     for s in range(0, len(h), how.batch):
-                        _descend(mine, seen, rows[s : s + how.batch], cls[s : s + how.batch], how.rate)
+                        e = s + how.batch
+                        _descend(mine, seen, rows[s:e], group[s:e] // how.wide, how.rate)
+                        _descend(mine, seen, within[s:e], group[s:e] % how.wide, how.rate)
                     tokens += len(h)
             if tokens:
                 weight = np.where((seen > 0).any(axis=1), np.float32(tokens / 1e6), np.float32(0))
-                change = ((mine - start) * weight[:, None]).reshape(blocks, -1)
+                change = ((mine - before) * weight[:, None]).reshape(blocks, -1)
                 weight = weight.reshape(blocks, -1)
                 salt = TaskContext.get().partitionId() % 64
                 for i in range(blocks):
@@ -264,17 +317,17 @@ def score(docs: DataFrame, vocabulary: DataFrame, known: Counts, w: np.ndarray,
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, w = sent.value
         make = Features(known, how, True)
-        log_mass = np.log10(known.mass)
+        log_mass = np.log10(np.maximum(known.mass, 0.1))
         row_no = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in slices(batch, "text"):
                 h, ending, first = _tokens(part.column("text"))
-                feature, cls, listed = make(h, ending, first)
+                feature, within, group, listed = make(h, ending, first)
                 lp = np.empty(len(h))
                 for s in range(0, len(h), how.batch):
                     e = min(s + how.batch, len(h))
-                    lp[s:e] = _log_softmax(w, feature[s:e])[np.arange(e - s), cls[s:e]]
-                lp = lp / np.log(10) + seen_mass - log_mass[cls]
+                    lp[s:e] = log_group(w, feature[s:e], within[s:e], group[s:e])
+                lp = lp / np.log(10) + seen_mass - log_mass[group]
                 rows = part.num_rows
                 row = np.repeat(np.arange(rows), np.diff(first))
                 own = listed >= 0

@@ -239,7 +239,7 @@ def test_language_model_grows_with_its_counts():
     sizes = [how.sized(10 ** (k // 2 + 1), 10**k) for k in range(14)]
     assert how.sized(0, 0) == how
     assert all(a.rows <= b.rows for a, b in zip(sizes, sizes[1:])) and sizes[4].rows < sizes[9].rows < sizes[11].rows
-    assert all(4 * s.rows * s.classes < 50_000_000 for s in sizes)
+    assert all(4 * s.rows * s.wide < 50_000_000 for s in sizes)
 
 
 def test_probabilities_add_up(spark):
@@ -255,14 +255,36 @@ def test_probabilities_add_up(spark):
     total = 0.0
     for x in [*"abcdefghij", "unseen"]:
         h, e, first = maxent_lm._tokens(pa.array([f"a b {x}"]))
-        rows, cls, listed = feature(h, e, first)
-        lp = maxent_lm._log_softmax(w, rows)[2, cls[2]]
-        total += known.unknown if listed[2] < 0 else math.exp(lp) * (1 - known.unknown) * (known.counts[listed[2]] + 0.1) / known.mass[cls[2]]
+        rows, within, group, listed = feature(h, e, first)
+        lp = maxent_lm.log_group(w, rows, within, group)[2]
+        total += known.unknown if listed[2] < 0 else math.exp(lp) * (1 - known.unknown) * (known.counts[listed[2]] + 0.1) / known.mass[group[2]]
     h, e, first = maxent_lm._tokens(pa.array(["a b"]))
-    rows, cls, listed = feature(h, e, first)
-    total += math.exp(maxent_lm._log_softmax(w, rows)[2, cls[2]]) * (1 - known.unknown) * (known.counts[listed[2]] + 0.1) / known.mass[cls[2]]
-    # Classes without words keep a little of the softmax.
-    assert 0.9 < total <= 1.0001 and all(s < 0 for s in got.values())
+    rows, within, group, listed = feature(h, e, first)
+    total += math.exp(maxent_lm.log_group(w, rows, within, group)[2]) * (1 - known.unknown) * (known.counts[listed[2]] + 0.1) / known.mass[group[2]]
+    # Classes and groups without words keep next to nothing of the softmaxes.
+    assert 0.999 < total <= 1.0001 and all(s < 0 for s in got.values())
+
+
+def test_context_reaches_the_word_in_its_class(spark):
+    """On held-out rows whose words are all known, groups chosen in context beat groups that follow their class's counts."""
+    rng = random.Random(5)
+    follows = {f"w{i}": [f"w{rng.randrange(100)}" for _ in range(3)] for i in range(100)}
+
+    def text():
+        out = ["w0"]
+        while len(out) < 60:
+            out.append(rng.choice(follows[out[-1]]))
+        return " ".join(out)
+
+    docs, how = frame(spark, [text() for _ in range(600)]), maxent_lm.MaxEnt()
+    train, held = docs.where("doc_id % 10 <> 0").select("doc_id", "text"), docs.where("doc_id % 10 = 0")
+    vocabulary, known = maxent_lm.count(train, how)
+    w = maxent_lm.train(train, known, how)
+    classes_only = w.copy()
+    classes_only[how.base :] = maxent_lm.start(known, how)[how.base :]
+    of = lambda w: maxent_lm.score(held, vocabulary, known, w, how).agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens"), F.sum("n_known")).first()
+    full, less = of(w), of(classes_only)
+    assert full[2] == full[3] and full[0] > less[0] + 0.1 * full[2] and less[0] > less[1]
 
 
 # op5

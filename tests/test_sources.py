@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from loamgrid.functions import geometry as geo
-from loamgrid.operators import joins, overlays, reports, stats
+from loamgrid.operators import joins, overlays, records, reports, stats
 from loamgrid.sources import io
 
 
@@ -78,3 +78,22 @@ def test_append_is_idempotent(spark, tmp_path):
 def test_headers_and_numbers(spark):
     r = spark.range(1).select(reports.two_row_header(F.array(*map(F.lit, ("A", "", "B"))), F.array(*map(F.lit, ("x", "y", "")))).alias("h"), reports.split_row_number(F.lit("១២ rice")).alias("n"), reports.split_row_number(F.lit("12")).alias("m")).first()
     assert r["h"] == ["A x", "A y", "B"] and tuple(r["n"]) == ("១២", "rice") and tuple(r["m"]) == (None, "12")
+
+
+def test_records_of_a_run(spark):
+    none = records.manifest(spark.createDataFrame([], "d string, m double"), "d", ["m"], run_id="r").first()[0]
+    assert json.loads(none) == {"run_id": "r", "datasets": [], "image_count": 0, "aggregates": {}}
+    some = records.manifest(spark.createDataFrame([("b", 0.5), ("a", None), ("b", 0.25)], "d string, m double"), "d", ["m"], run_id="r").first()[0]
+    assert json.loads(some) == {"run_id": "r", "datasets": [{"name": "a", "images": 1}, {"name": "b", "images": 2}], "image_count": 3, "aggregates": {"m": "0.375"}}
+    d = spark.createDataFrame([(None, "a\nb"), ("same\nabcdef", "same\nabcdeg")], "a string, b string")
+    assert [r[0] for r in d.select(records.line_diff("a", "b")).collect()] == ["+ a\n+ b", "  same\n- abcdef\n?      ^\n\n+ abcdeg\n?      ^\n"]
+
+
+def test_curriculum_follows_its_shares(spark):
+    d = records.curriculum(spark, 20_000, ["kg", "%"], 3)
+    n = {r["kind"]: r["count"] / 20_000 for r in d.groupBy("kind").count().collect()}
+    want = {"unit": 0.3, "percent": 0.25, "whole": 0.2, "decimal": 0.15, "khmer": 0.1}
+    assert n.keys() == want.keys() and all(abs(n[k] - want[k]) < 0.02 for k in want)
+    shape = F.expr("CASE kind WHEN 'unit' THEN text IN ('kg', '%') WHEN 'percent' THEN text RLIKE '^[-+]?[0-9]{1,2}[.][0-9]{2}%$' WHEN 'whole' THEN text RLIKE '^[0-9]{1,3}(,[0-9]{3}){0,2}$' WHEN 'decimal' THEN text RLIKE '^[0-9]{1,3}[.][0-9]{5}$' ELSE text RLIKE '^[០-៩]{1,4}$' END")
+    assert d.where(~shape).count() == 0
+    assert d.exceptAll(records.curriculum(spark, 20_000, ["kg", "%"], 3)).count() == 0

@@ -34,7 +34,7 @@ CANDIDATE = (
 )
 #: Words whose presence beside a candidate speaks for or against a secret.
 _FOR = "key|token|secret|passw|pwd|auth|bearer|credential|api|private|session"
-_AGAINST = "commit|sha|hash|checksum|digest|md5|uuid|guid|version|revision|example|sample|placeholder|file|path|image|build|etag|blob|url|href|http|host|mail|www"
+_AGAINST = "commit|sha|hash|checksum|digest|md5|uuid|guid|version|revision|example|sample|placeholder|file|path|image|build|etag|blob|url|href|http|host|mail|www|public|fingerprint|(cache|primary|foreign|partition)[ _-]?key"
 #: issuers' prefixes.
 _ISSUED = r"^(AKIA|ASIA|gh[pousr]_|sk_live_|sk_test_|rk_live_|xox[abprs]-|AIza|eyJ|glpat-|SG\.|npm_|-----BEGIN)"
 #: Short words that human-made identifiers are built from.
@@ -86,7 +86,8 @@ def labelled_examples(spark: SparkSession, how: Forest = Forest()) -> DataFrame:
     """(before, token, after, label): generated findings, the same for the same seed; half are secrets.
 
     Their values come from hashes of row numbers, in the forms that issuers use;
-    the others are commits, checksums, identifiers, host names, paths and slugs.
+    the others are commits, checksums, identifiers, host names, paths, slugs, and
+    hashes that a public, cache or database key or a fingerprint is said to be.
     A third of both are short: passwords and plain letters, or words, quoted
     phrases and placeholders. A tenth of the secrets are key blocks.
     """
@@ -102,7 +103,7 @@ def labelled_examples(spark: SparkSession, how: Forest = Forest()) -> DataFrame:
         quote = choose(6, "\"", "'", "", "\"")
         other = choose(7, piece(1, 40), piece(1, 64), F.concat_ws("-", piece(1, 8), piece(9, 4), piece(13, 4), piece(17, 4), piece(21, 12)), F.concat(word(8), F.lit("-"), word(9), F.lit("-"), word(10), F.lit("-20"), F.lpad(h(11, 30).cast("string"), 2, "0")), F.concat(F.lit("/usr/lib/"), word(12), F.lit("3."), h(13, 15).cast("string"), F.lit("/"), word(14), F.lit("/"), word(15), F.lit(".py")), F.concat(F.lit("mail"), h(16, 90).cast("string"), F.lit("."), word(17), F.lit(".example.com")), F.concat(F.lit("your_"), choose(18, "token", "api_key", "secret"), F.lit("_here_"), h(19, 99).cast("string")), F.concat(F.lit("get"), F.initcap(word(20)), F.lit("Code"), h(21, 900).cast("string"), F.initcap(word(22))), F.concat(F.repeat(F.lit("x"), h(23, 9) + 14), F.lit("1")))
         benign = choose(24, "commit ", "sha256:", "checksum: ", "see ", "uuid=", "request id ", "https://example.org/", "user@", "version ", "file ", "image: registry/", "in the text of ", "etag: \"", "md5 = ", "blob ", "digest ")
-        benign = F.when(h(7, 9) == 6, F.concat(subject, F.lit(" = \""))).when(h(7, 9) < 2, choose(25, "commit ", "sha256:", "checksum: ", "blob ", "etag: \"", "md5 = ", "digest ", "revision ", "hash = ", "build ")).otherwise(benign)
+        benign = F.when(h(7, 9) == 6, F.concat(subject, F.lit(" = \""))).when(h(7, 9) < 2, choose(25, "commit ", "sha256:", "checksum: ", "blob ", "etag: \"", "md5 = ", "digest ", "revision ", "hash = ", "build ", "cache key = ", "cache_key=", "public key: ", "public_key = \"", "primary key = ", "foreign key: ", "partition key = \"", "key fingerprint: ")).otherwise(benign)
         short = h(30, 3) == 0
         plain = lambda a, n: F.translate(F.substring(b64, a, n), "0123456789", "qzxwvkjhgf")
         password = choose(31, F.substring(b64, 5, 8), F.substring(b64, 9, 13), F.concat(word(32), h(33, 99).cast("string"), word(34)), F.concat(F.substring(b64, 7, 6), choose(35, "&", "!", "$", "#", "@", "%", "*"), F.substring(b64, 30, 5)), F.concat(plain(3, 4), h(36, 9999).cast("string")), plain(11, 24), F.lower(plain(20, 24)), F.concat(F.lower(plain(2, 5)), h(37, 9).cast("string"), word(38)))

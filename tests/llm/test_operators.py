@@ -406,6 +406,24 @@ def test_secrets(spark, awkward, nothing):
     assert ((judged["s"] >= 0.5) == (judged["label"] > 0)).mean() > 0.95
 
 
+def test_secrets_planted_in_documents(spark):
+    """Recall and precision on findings in real texts, in forms that the forest's examples don't all have."""
+    rng = random.Random(8)
+    of = lambda n, a="abcdefghijkLMNOPQRSTUVWXYZ0123456789": "".join(rng.choices(a, k=n))
+    digest = lambda: of(32, "0123456789abcdef")
+    secret = {'curl -H "Authorization: Bearer {}" https://api.example.com': lambda: of(32), '{{"user": "ann", "token": "{}"}}': lambda: of(32), "AWS_SECRET_ACCESS_KEY={}": lambda: of(40), "pushed with {} by mistake": lambda: "ghp_" + of(36), "postgres://app:{}@db.example.com/main": lambda: of(24)}
+    open_ = {"cache key = {}": digest, "fixed in commit {}": digest, "public key fingerprint: {}": digest, "https://cdn.example.com/assets/main.{}.js": digest, "primary key = {}": lambda: f"user_{rng.randrange(2000, 2030)}_index", "token count = {}": lambda: str(rng.randrange(10**5, 10**9))}
+    forms, rows = [*secret, *open_], []
+    for i, r in enumerate(spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").select("text").toLocalIterator()):
+        form, words_ = forms[i % len(forms)], (r[0] or "").split(" ")
+        value, at = (secret.get(form) or open_[form])(), rng.randrange(len(words_) + 1)
+        rows.append((i, " ".join([*words_[:at], form.format(value), *words_[at:]]), value, form in secret))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, value string, secret boolean")
+    gone = [(r["secret"], r["value"] not in r["text"]) for r in secrets.Scanner(spark).redact(docs).collect()]
+    hit, false, all_ = gone.count((True, True)), gone.count((False, True)), sum(s for s, _ in gone)
+    assert hit > 0.95 * all_ and hit > 0.95 * (hit + false)
+
+
 def test_short_secrets_and_blocks(spark):
     h = hashlib.sha256(b"2").hexdigest()
     values = {'password = "{}"': "hunter2secret", "password: {}, and": "Tr0ub4dor&3xyz", 'api_key = "{}"': "qwhzkXvbnmtrpLkjhgfdsazx", '"pwd": "{}"': "x7!kq2"}

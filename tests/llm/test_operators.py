@@ -183,6 +183,17 @@ def test_components_of_a_long_chain(spark):
     assert graph.components(chain.where("false")).count() == 0
 
 
+def test_small_graphs_take_few_jobs(spark):
+    rng = np.random.default_rng(7)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(i, i + 1) for i in range(1000, 1040)] + [(5000 - i, 5001 - i) for i in range(40)]
+    links = spark.createDataFrame([*pairs, *pairs[:5], (None, 3), (3, None), (9, 9)], "a long, b long")
+    spark.sparkContext.setJobGroup("few", "few")
+    got = sorted(map(tuple, graph.components(links).collect()))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few")) <= 4
+    assert got == sorted(map(tuple, graph.components(links, few=0).collect())) == sorted(map(tuple, graph.components(links, few=20).collect()))
+
+
 # op3
 
 

@@ -6,12 +6,14 @@
 2. Each document yields its size, a 128-bit hash of its set and its prefix: the
    rarest shingles, of which any partner must share one. Documents with equal
    sets are one node from here on.
-3. Nodes meet on prefix shingles. First each is paired with a few nodes picked
-   at random for each shingle; length and positional bounds thin the pairs; a
-   suffix bound and the exact intersection decide each pair once. Then only
-   nodes of one shingle that are still in different components are paired, so a
-   group of n near copies costs about n pairs and not n * n, and yet no two
-   documents that are linked can end up apart.
+3. Nodes meet on prefix shingles, which travel once, packed by ranges of their
+   hashes; those that one node alone has go no further. First the few nodes of a
+   rare shingle are all paired, and those of a crowded one with one of them
+   picked at random; length and positional bounds thin the pairs; a suffix bound
+   and the exact intersection decide each pair once. Then only nodes of one shingle that were not paired under it and
+   are still in different components are paired, so a group of n near copies
+   costs about n pairs and not n * n, and yet no two documents that are linked
+   can end up apart.
 4. Connected components give each document the smallest linked doc_id.
 """
 
@@ -148,14 +150,61 @@ def _placed(rows: DataFrame) -> DataFrame:
     return out.withColumn("after", F.col("n") - 1 - F.col("pos"))
 
 
-def _shared(single: DataFrame) -> DataFrame:
-    """(token, node, n, pos, p0 to p3, before, after): prefix shingles of ``single`` that two nodes or more have.
+#: A prefix shingle on its way, and how many of them a range of hashes gets, about.
+_PLACE, _RANGE = np.dtype([("token", "<u8"), ("node", "<i8"), ("pos", "<u4")]), 1 << 18
+#: Rows of a token that all meet each other at once; of more, all meet one.
+_ALL = 8
 
+
+def _pack(places: np.ndarray) -> bytes:
+    """Bytes of ``places``, the first of each, then the second and so on: those of ids and places, mostly alike, then compress."""
+    return places.view(np.uint8).reshape(len(places), _PLACE.itemsize).T.tobytes()
+
+
+def _unpack(packs: pa.ChunkedArray) -> np.ndarray:
+    return np.concatenate([np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(_PLACE.itemsize, -1).T).view(_PLACE).ravel() for x in packs])
+
+
+def _shared(single: DataFrame, how: Jaccard, ranges: int, freeing: list[DataFrame]) -> DataFrame:
+    """(token, node, rank, few, again, n, pos, p0 to p3, before, after): prefix shingles of ``single`` that two nodes or more have.
+
+    Rows of a token have ranks from 0 in a random order. Each meets those before
+    it, or in a crowd the first only (these are ``few``); then all but the first
+    meet ``again``.
     Only place and node travel with each shingle; what else a node has joins those that are left.
     """
-    rows = single.select("node", F.posexplode("tokens").alias("pos", "token"))
-    common = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    return stored(_placed(met_by(rows, common, "token", "left_semi").join(single.drop("tokens"), "node")))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tokens")
+            many = np.diff(lists.offsets.to_numpy())
+            places = np.empty(int(many.sum()), _PLACE)
+            places["token"] = lists.flatten().to_numpy().view(_U)
+            places["node"] = np.repeat(batch.column("node").to_numpy(), many)
+            places["pos"] = np.arange(len(places)) - np.repeat(np.cumsum(many) - many, many)
+            part = ((places["token"] >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            places, part = places[order], part[order]
+            begin = np.flatnonzero(np.diff(part, prepend=-1))
+            packs = [_pack(x) for x in np.split(places, begin[1:])] if len(places) else []
+            yield pa.RecordBatch.from_arrays([pa.array(part[begin]), pa.array(packs, pa.binary())], names=["part", "places"])
+
+    def meet(group: pa.Table) -> pa.Table:
+        places = _unpack(group.column("places"))
+        by = wh.mix(places["node"].view(_U) ^ wh.mix(places["token"] % _U(how.picks)))
+        places = places[np.lexsort((by, places["token"]))]
+        begin = np.flatnonzero(np.concatenate(([True], places["token"][1:] != places["token"][:-1])))
+        sizes = np.diff(begin, append=len(places))
+        many, rank = np.repeat(sizes, sizes), np.arange(len(places)) - np.repeat(begin, sizes)
+        places, many, rank = places[many > 1], many[many > 1], rank[many > 1]
+        # Of those that all meet, the last stands before none.
+        few = np.where(many > _ALL, rank == 0, rank < many - 1)
+        columns = {"token": places["token"].copy().view(np.int64), "node": places["node"], "pos": places["pos"].astype(np.int32), "rank": rank.astype(np.int32), "few": few, "again": (rank > 0) & (many > _ALL)}
+        return pa.table(columns)
+
+    packed = single.select("node", "tokens").mapInArrow(pack, "part int, places binary")
+    rows = packed.groupBy("part").applyInArrow(meet, "token long, node long, pos int, rank int, few boolean, again boolean")
+    return stored(_placed(rows.join(single.drop("tokens"), "node")), freeing)
 
 
 def verified(docs: DataFrame, pairs: DataFrame, how: Jaccard) -> DataFrame:
@@ -188,18 +237,25 @@ def verified(docs: DataFrame, pairs: DataFrame, how: Jaccard) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    sets = stored(docs.select("doc_id", "text").join(small(ids, how.sent_ids), "doc_id", "left_semi").mapInArrow(load, "doc_id long, items binary").distinct())
+    sets = stored(docs.select("doc_id", "text").join(small(ids, how.sent_ids), "doc_id", "left_semi").mapInArrow(load, "doc_id long, items binary"))
+    if sets.count() > ids.count():  # some doc_id has several rows
+        sets = stored(sets.distinct(), [sets])
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
     return stored(both.select("a", "b", "x", "y").mapInArrow(decide, "a long, b long"), [ids, sets])
 
 
 def _apart(met: DataFrame, found: DataFrame | None, how: Jaccard) -> DataFrame:
-    """Rows of ``met`` whose shingle has nodes of several components, placed anew, with the component and ``earlier`` shingles.
+    """Rows of ``met`` that meet again and whose shingle has nodes of several components, placed anew, with the component
+    and ``earlier`` shingles.
 
     Where all nodes of a shingle are in one component already, no pair across
     components can meet or overlap. Without ``found`` each node is on its own.
+    A pair that met under any shingle, as all did or one of it was first, is decided:
+    the bounds hold for linked pairs under each shingle that they share. Of all
+    other pairs both rows of each shared shingle are here, so counts of rows
+    before are still no less than what such a pair may share.
     """
-    left = met.select("token", "node", "n", "pos", *_PARITY)
+    left = met.where("again").select("token", "node", "n", "pos", *_PARITY)
     if found is None:
         left = left.withColumn("component", F.col("node"))
     else:
@@ -213,16 +269,16 @@ def _apart(met: DataFrame, found: DataFrame | None, how: Jaccard) -> DataFrame:
 
 
 def _paired(rows: DataFrame, few: DataFrame, condition: str) -> DataFrame:
-    """x of ``rows`` beside y of ``few``, an aggregate over tokens, under the same token; see met_by() for the complement."""
+    """x of ``rows`` beside y of ``few``, some for each token, under the same token; see met_by() for the complement."""
     y = few.withColumn("apart", F.bitwise_not("token")).drop("token")
     return rows.alias("x").join(y.alias("y"), F.expr(f"~x.token = y.apart AND {condition}"))
 
 
-def _crowded(left: DataFrame) -> bool:
-    """Whether pairs across components would far outnumber the rows, so that merging components first pays."""
+def _crowded(left: DataFrame, rows: int) -> bool:
+    """Whether pairs across components would far outnumber the ``rows`` in which nodes met, so that merging components first pays."""
     k = left.groupBy("token", "component").agg(F.count(F.lit(1)).cast("double").alias("k")).groupBy("token").agg(F.sum("k").alias("s"), F.sum(F.col("k") * F.col("k")).alias("q"))
-    r = k.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs"), F.sum("s").alias("rows")).first()
-    return bool(r["rows"]) and r["pairs"] > 4 * r["rows"]
+    r = k.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2).alias("pairs")).first()
+    return (r["pairs"] or 0) > 4 * rows
 
 
 def _partners(left: DataFrame, how: Jaccard, again: int) -> DataFrame:
@@ -253,23 +309,27 @@ def join(docs: DataFrame, how: Jaccard = Jaccard(), every_link: bool = False) ->
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = stored(signatures(docs, how))
-    named = sig.where("n > 0 AND doc_id IS NOT NULL")
     # Stored, so that joins with it have shuffles of their own on both sides, which Spark can split where copies crowd.
-    nodes = stored(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")))
-    members = sig.select("doc_id", "n", "h1", "h2").join(nodes, ["h1", "h2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")).otherwise(F.col("doc_id")).alias("node"))
-
-    single = named.join(nodes, ["h1", "h2"]).where("doc_id = node").select("node", "n", *_PARITY, "tokens")
-    met = _shared(single)
-    pick = F.struct(F.xxhash64("node", F.pmod("token", F.lit(how.picks))).alias("by"), *(F.col(c) for c in ("node", "n", "before", "after", *_PARITY)))
-    best = met.groupBy("token").agg(F.min(pick).alias("best")).select("token", "best.*")
-    near = _paired(met, best, f"x.node <> y.node AND {_bounds(how.percent)}")
+    nodes = stored(sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("node")))
+    members = sig.select("doc_id", "n", "h1", "h2").join(nodes, ["h1", "h2"], "left")
+    members = stored(members.withColumn("node", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("node")).otherwise(F.col("doc_id"))), [nodes])
+
+    # Copies are the fewer rows by far in most corpora: their keys travel, and the prefixes stay where they are.
+    row = F.xxhash64("doc_id", "h1", "h2")
+    copies = members.where("n > 0 AND doc_id <> node").select(row.alias("row"))
+    single = sig.where("n > 0 AND doc_id IS NOT NULL").withColumn("row", row).join(small(copies, how.sent_ids), "row", "left_anti")
+    places = members.where("n > 0").agg(F.expr(f"sum(n - ({how.percent} * n + 99) div 100 + 1)")).first()[0] or 0
+    ranges = max(places // _RANGE + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = _shared(single.select(F.col("doc_id").alias("node"), "n", *_PARITY, "tokens"), how, ranges, [sig])
+    place = met.select("token", "node", "n", "before", "after", *_PARITY, "rank", "few")
+    near = _paired(place.where("rank > 0").drop("few"), place.where("few").drop("few"), f"x.rank > y.rank AND x.node <> y.node AND {_bounds(how.percent)}")
     tried = stored(near.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct())
     links = verified(docs, tried, how)
 
     if not every_link:
         for again in range(how.rounds):
             left = _apart(met, components(links), how)
-            if not _crowded(left):
+            if not _crowded(left, met.count()):
                 break
             more = verified(docs, stored(_partners(left, how, again).join(tried, ["a", "b"], "left_anti")), how)
             if more.isEmpty():
@@ -281,7 +341,7 @@ def join(docs: DataFrame, how: Jaccard = Jaccard(), every_link: bool = False) ->
         left = _apart(met, None, how)
     rest = left.alias("x").join(left.alias("y"), F.expr(f"x.token = y.token AND x.component < y.component AND {_bounds(how.percent)} AND {_first(how.percent)}"))
     rest = stored(rest.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    return Joined(members, links.unionByName(verified(docs, rest, how)))
+    return Joined(members.select("doc_id", "n", "node"), links.unionByName(verified(docs, rest, how)))
 
 
 def near_duplicates(docs: DataFrame, how: Jaccard = Jaccard()) -> DataFrame:

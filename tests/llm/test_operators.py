@@ -176,6 +176,46 @@ def test_join_on_awkward_rows(spark, awkward, nothing):
     assert jaccard_join.near_duplicates(nothing).count() == 0
 
 
+def shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_prefixes_travel_once(spark):
+    rng = random.Random(4)
+    texts = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(400))) for i in range(3000)]
+    texts += [(3000 + i, t + " more") for i, t in texts[:60]]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    how = jaccard_join.Jaccard(table_bits=12)
+    places = len(texts) * (396 - 317 + 1)
+    before = shuffled(spark)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.near_duplicates(docs, how).collect()}
+    assert got == {i: i - 3000 if i >= 3000 else i for i, _ in texts}
+    # A place takes some 12 bytes on its way; everything else is small here.
+    assert shuffled(spark) - before < 18 * places
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_crowds_keep_every_link(spark, seed):
+    """Few words, so that most shingles are in many documents and random picks decide few of the pairs."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(9)}" for _ in range(45)]
+    texts = []
+    for i in range(140):
+        w = list(base)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(len(w))] = f"w{rng.randrange(9)}"
+        texts.append((7 * i - 300, " ".join(w)))
+    want, links = brute_components(texts)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    how = jaccard_join.Jaccard(table_bits=4, picks=1)
+    joined = jaccard_join.join(docs, how, every_link=True)
+    node = {r["doc_id"]: r["node"] for r in joined.members.collect()}
+    assert {(r["a"], r["b"]) for r in joined.links.collect()} == {tuple(sorted((node[a], node[b]))) for a, b in links if node[a] != node[b]}
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.near_duplicates(docs, how).collect()} == want
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.range(60).selectExpr("id AS a", "id + 1 AS b")
     got = {r["node"]: r["component"] for r in graph.components(chain.unionByName(spark.createDataFrame([(100, 101), (101, 100), (7, 7)], "a long, b long"))).collect()}
